@@ -18,6 +18,7 @@ expanded into all pairs. Equal sets are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,16 @@ def _verify(k: int, similarity: int):
     return run
 
 
+#: words of the folded sketch that rows of unfinished buckets carry
+FOLDED = 8
+
+
+def _folded(sketch: str) -> list[F.Column]:
+    """The sketch folded by XOR: a sketch of the same set with fewer bits."""
+    xor = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.get(sketch, F.lit(j)) for j in range(i, SKETCH_WORDS, FOLDED)])
+    return [xor(i) for i in range(FOLDED)]
+
+
 def _distance() -> F.Column:
     return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
@@ -152,9 +163,14 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
     comp = connected_components(links, work)
     left = met.select("bucket", "sid", "n").distinct().join(comp, F.col("sid") == F.col("node"), "left").select("bucket", "sid", "n", F.coalesce("component", "sid").alias("comp"))
     left = left.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).filter("lo < hi")
-    left = work.cut(left.drop("lo", "hi"), "left")
-    side = lambda x: left.select("bucket", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
-    cross = side("a").join(side("b"), "bucket").filter("ca < cb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity)
+    folded = sets.select(F.col("sid").alias("s"), *[x.alias(f"f{i}") for i, x in enumerate(_folded("sketch"))])
+    left = left.drop("lo", "hi").join(folded, F.col("sid") == F.col("s")).drop("s")
+    left = work.cut(left, "left")
+    side = lambda x: left.select("bucket", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), *[F.col(f"f{i}").alias(f"f{i}{x}") for i in range(FOLDED)])
+    # the distance of the folded sketches is part of the join, so that pairs too far apart are not made
+    apart = sum((F.bit_count(F.col(f"f{i}a").bitwiseXOR(F.col(f"f{i}b"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (apart * (100 + similarity) <= (F.col("na") + F.col("nb")) * (100 - similarity))
+    cross = side("a").join(side("b"), "bucket").filter("ca < cb").filter(near)
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = work.cut(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     work.drop(met, left)
