@@ -9,8 +9,8 @@ agree on a block among the d+1 fullest blocks of each (d: the largest possible
 distance). Sets that agree on such a block meet in a bucket; pairs are screened by the
 Hamming distance of a short sketch and verified on the exact sets.
 
-In a bucket each set is first compared with the smallest set id only (a star).
-Pairs of a bucket that are then still in different components are compared as
+In a bucket each set is first compared with the smallest and the largest set id only (two stars).
+Other pairs of a bucket that are then still in different components are compared as
 well, so no link that joins two components is missed, and copies are not
 expanded into all pairs. Equal sets are one node throughout.
 """
@@ -138,9 +138,10 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
 
     bucket = Window.partitionBy("bucket")
     rows = signed.filter("n > 0").select(F.explode("buckets").alias("bucket"), "sid", "n")
-    met = work.cut(rows.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).filter("lo < hi").drop("hi"), "met")
+    met = work.cut(rows.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).filter("lo < hi"), "met")
     work.drop(signed)
-    stars = work.cut(met.filter("sid != lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct(), "stars")
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sid").alias("b")), F.struct(F.col("sid").alias("a"), F.col("hi").alias("b"))))
+    stars = work.cut(met.select(ends.alias("p")).select("p.*").filter("a < b").distinct(), "stars")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -159,9 +160,9 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
         return out
 
     links = verified(stars, "star")
-    # pairs of a bucket that the stars left in different components
+    # pairs of a bucket that the stars left in different components; its two ends are done
     comp = connected_components(links, work)
-    left = met.select("bucket", "sid", "n").distinct().join(comp, F.col("sid") == F.col("node"), "left").select("bucket", "sid", "n", F.coalesce("component", "sid").alias("comp"))
+    left = met.filter("sid != lo and sid != hi").select("bucket", "sid", "n").distinct().join(comp, F.col("sid") == F.col("node"), "left").select("bucket", "sid", "n", F.coalesce("component", "sid").alias("comp"))
     left = left.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).filter("lo < hi")
     folded = sets.select(F.col("sid").alias("s"), *[x.alias(f"f{i}") for i, x in enumerate(_folded("sketch"))])
     left = left.drop("lo", "hi").join(folded, F.col("sid") == F.col("s")).drop("s")
