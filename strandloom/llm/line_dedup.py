@@ -130,7 +130,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tkey, d, t, g = (free_name(docs, x) for x in ("tkey", "doc_id_", "tkey_", "gone"))
     gone = gone.select(F.col("doc_id").alias(d), F.col("tkey").alias(t), F.col("gone").alias(g))
     rows = docs.withColumn(tkey, F.xxhash64(F.col(text_col)))
-    rows = rows.join(gone, _same([F.col(id_col), F.col(tkey)], [F.col(d), F.col(t)]), "left")
+    # a merge join at any size: the list of lines grows with the corpus, so it is never broadcast
+    rows = rows.join(gone.hint("merge"), _same([F.col(id_col), F.col(tkey)], [F.col(d), F.col(t)]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
     text = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
