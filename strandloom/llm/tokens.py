@@ -16,7 +16,9 @@ import pyarrow as pa
 
 from . import textnum as tn
 
-TABLE_BITS = 20
+TABLE_BITS = 21
+#: bytes of text that are split at a time
+SLICE = 200_000
 MAX_HELD_IDS = 4_000_000
 
 # Byte classes of the split pattern of byte-level BPE
@@ -87,7 +89,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.key = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.at = np.zeros(1 << TABLE_BITS, np.int64)
+        self.at = np.zeros(1 << TABLE_BITS, np.int32)
         self.n = np.zeros(1 << TABLE_BITS, np.int32)
         self.held = np.zeros(1 << 16, np.uint32)
         self.used = 0
@@ -95,6 +97,11 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, raw: list[bytes]) -> list[list[int]]:
+        """The ids of single pieces, from the library's model, which takes bytes as printable characters."""
+        tokenize = self.tok.model.tokenize
+        return [[t.id for t in tokenize(x.decode("latin-1").translate(_PRINTABLE))] for x in raw]
+
     def _hold(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(x) for x in ids], np.int32)
         total = int(n.sum())
@@ -112,7 +119,7 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        up, down = tn._powers(max(len(data), tn.SLICE_BYTES) + 1)
+        up, down = tn._powers(max(len(data), 2 * SLICE) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_PLAIN[data] * up[: len(data)], out=sums[1:])
         h = tn.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
@@ -120,12 +127,12 @@ class Encoder:
             self._clear()
         slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != h)
-        at, n = self.at[slot], self.n[slot]
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         if len(miss):
             new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             where = miss[first]
             raw = data.tobytes()
-            new_at, new_n = self._hold(self._library([raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]))
+            new_at, new_n = self._hold(self._pieces([raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]))
             at[miss], n[miss] = new_at[which], new_n[which]
             slot = slot[where]
             self.key[slot], self.at[slot], self.n[slot] = new, new_at, new_n
@@ -137,7 +144,7 @@ class Encoder:
     def encode(self, col: pa.Array):
         """For slices of the rows: (first row, ids, count of each row); null is empty."""
         data, offsets = tn.text_bytes(col)
-        for i, j in tn.slices(offsets):
+        for i, j in tn.slices(offsets, SLICE):
             part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             plain = plain_rows(part, own) if self.by_piece and len(part) else np.full(j - i, self.by_piece)
             if plain.all():
@@ -155,3 +162,12 @@ class Encoder:
 
 
 _PLAIN = tn._table(False)
+
+
+def _printable() -> dict[int, int]:
+    """Byte-level BPE shows a byte as itself if Latin-1 prints it, and the others as the characters from 256 on, in their order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: c for c, b in enumerate((b for b in range(256) if b not in shown), 256)}
+
+
+_PRINTABLE = _printable()
