@@ -16,16 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import Work, free_name
 
-SIZES = (3, 4, 5)
-BITS = 18
-FEATURES = 8_000
+SIZES = (3, 4, 5, 6, 7)
+BITS = 20
+FEATURES = 4_000
 MAX_ROWS = 20_000
+#: bytes of text that are taken at a time
+SLICE = 400_000
 _K = np.uint32(0x9E3779B1)
 
 
@@ -67,7 +70,7 @@ def _short(chars: np.ndarray):
 
 def _slices(col: pa.Array):
     _, offsets = tn.text_bytes(col)
-    for i, j in tn.slices(offsets):
+    for i, j in tn.slices(offsets, SLICE):
         yield i, j, col.slice(i, j - i).to_pylist()
 
 
@@ -87,7 +90,7 @@ class ToxicityModel:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that hold a bucket, as one table a task."""
     total = np.zeros((2, 1 << BITS), np.int64)
-    every = np.arange(1 << BITS)
+    every = np.arange(1 << BITS, dtype=np.int32)
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j, texts in _slices(batch.column(0)):
@@ -109,25 +112,29 @@ def _active(slot: np.ndarray):
     return run
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on features scaled by ``r``, by Adam."""
-    idx = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    scale = r[idx]
-    # classes weigh the same
+def _fit(idx: np.ndarray, ends: np.ndarray, y: np.ndarray, r: np.ndarray, l2: float, steps: int = 200, block: int = 1 << 18) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by ``r``, by Adam; row i has the features idx[ends[i]:ends[i+1]]. Both classes weigh the same.
+
+    Rows are taken in blocks of about ``block`` features, so that scratch arrays stay small.
+    """
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, b = np.zeros(len(r)), 0.0
-    m, v, mb, vb = np.zeros(len(r)), np.zeros(len(r)), 0.0, 0.0
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + block, block)).clip(0, len(y)))
+    parts = []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        parts.append((i, j, idx[ends[i] : ends[j]], np.repeat(np.arange(j - i, dtype=np.int32), np.diff(ends[i : j + 1]))))
+    n = len(r)
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)  # the last is the bias
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(b + np.bincount(row, w[idx] * scale, minlength=len(rows)))))
-        e = weight * (p - y)
-        g, gb = np.bincount(idx, e[row] * scale, minlength=len(r)) + l2 * w, e.sum()
+        scaled, g = w[:n] * r, np.zeros(n + 1)
+        g[:n] = l2 * w[:n]
+        for i, j, f, row in parts:
+            p = 1 / (1 + np.exp(-(w[n] + np.bincount(row, scaled[f], minlength=j - i))))
+            e = weight[i:j] * (p - y[i:j])
+            g[:n] += np.bincount(f, e[row], minlength=n) * r
+            g[n] += e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w = w - 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= 0.05 * (mb / c1) / (vb / c2 + 1e-16) ** 0.5
-    return w, b
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:n], float(w[n])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, l2: float = 1e-4) -> ToxicityModel:
@@ -147,19 +154,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     rows = work.cut(rows.select("text", "toxic"), "examples")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
-        return ToxicityModel(np.full(1 << BITS, -1), np.zeros(1), 40.0 if n.get(1) else -40.0)
-    counts = rows.coalesce(8).mapInArrow(_counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg"), F.sum("pos"))
-    bucket, neg, pos = np.array([tuple(x) for x in counts.collect()], np.int64).T  # 2**BITS rows at most
-    ratio = np.log((pos + 1) / (n[1] + 2)) - np.log((neg + 1) / (n[0] + 2))
-    clear = np.abs(ratio) / np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
-    best = np.lexsort((bucket, -clear))[:FEATURES]
-    slot = np.full(1 << BITS, -1, np.int64)
-    slot[bucket[best]] = np.arange(len(best))
+        return ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), 40.0 if n.get(1) else -40.0)
+    counts = rows.coalesce(8).mapInArrow(_counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    ratio = F.log((F.col("pos") + 1) / (n[1] + 2)) - F.log((F.col("neg") + 1) / (n[0] + 2))
+    counts = counts.withColumn("ratio", ratio)
+    clear = F.abs("ratio") / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
+    best = counts.orderBy(F.desc(clear), "bucket").limit(FEATURES).select("bucket", "ratio").collect()
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[[x["bucket"] for x in best]] = np.arange(len(best))
+    r = np.array([x["ratio"] for x in best])
     active = rows.mapInArrow(_active(slot), "f array<int>, toxic int").toArrow()  # max_rows rows of FEATURES numbers at most
-    y = np.array(active["toxic"].to_pylist(), float)
-    r = ratio[best]
-    w, b = _fit([np.array(x.values.to_numpy(zero_copy_only=False)) for x in active["f"]], y, r, l2)
-    return ToxicityModel(slot, w * r, float(b))
+    y, f = active["toxic"].to_numpy().astype(float), active["f"].combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))])
+    w, b = _fit(f.flatten().to_numpy(zero_copy_only=False), ends, y, r, l2)
+    return ToxicityModel(slot, w * r, b)
 
 
 def _score(model: ToxicityModel):
