@@ -73,10 +73,12 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list
     n = max(min_match, min(len(doc), len(item)))
     while True:
         found = sorted(_matches(doc, item, doc_marked, item_marked, n), key=lambda m: (-m[0], m[1], m[2]))
-        again = False
+        again = 0
         for k, d, p in found:
+            if k < again:
+                break
             if doc_marked[d : d + k].any() or item_marked[p : p + k].any():
-                again = True  # what is left of it is looked for at this length again
+                again = k  # what is left of it may still be longer than the matches that follow
                 continue
             doc_marked[d : d + k] = item_marked[p : p + k] = True
             out.append((d, p, k))
@@ -130,7 +132,7 @@ _OUT = "item_id {item}, item_ids array<{item}>, n_tiles int, matched_words int,
 def _scan(index: Index, coverage: float, types: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item_type, tile = types[0], pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])
-        for batch in batches:
+        for batch in tn.each(batches):
             data, offsets = tn.text_bytes(batch.column(1))
             rows, out = [], []
             for i, j in tn.slices(offsets):
@@ -181,7 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def _clean(index: Index, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tn.each(batches):
             data, offsets = tn.text_bytes(batch.column(batch.num_columns - 1))
             keep = np.ones(batch.num_rows, bool)
             for i, j in tn.slices(offsets):

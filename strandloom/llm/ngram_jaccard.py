@@ -75,7 +75,7 @@ def _buckets(s: np.ndarray, similarity: int) -> list[np.ndarray]:
 
 def _signatures(k: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tn.each(batches):
             data, offsets = tn.text_bytes(batch.column(2))
             for i, j in tn.slices(offsets):
                 sets = tn.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
@@ -101,7 +101,7 @@ def _signatures(k: int, similarity: int):
 
 def _verify(k: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tn.each(batches):
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 a, b = (tn.shingle_sets(*tn.text_bytes(part.column(c)), k) for c in (2, 3))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum as tn
 from .common import Work, global_row_numbers
 from .tokens import Encoder
 
@@ -37,7 +38,7 @@ LARGE = 1 / 8
 def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
-        for batch in batches:
+        for batch in tn.each(batches):
             for first, ids, n in enc.encode(batch.column(1)):
                 rows, piece, start, size, crc, parts = [], [], [], [], [], []
                 at = 0

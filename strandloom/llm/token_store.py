@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textnum as tn
 from .common import Work, shuffle_partitions
 from .tokens import Encoder
 
@@ -33,7 +34,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path)
         part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in tn.each(batches):
             for first, ids, n in enc.encode(batch.column(1)):
                 ends = np.cumsum(n + 1)
                 out = np.insert(ids, np.cumsum(n), end_id).astype("<i4")
@@ -83,7 +84,7 @@ def read_tokens(spark: SparkSession, path: str, where: Column | None = None) ->
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tn.each(batches):
         ids = batch.column(3)
         flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<i4")
         ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])

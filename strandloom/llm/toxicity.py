@@ -91,7 +91,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that hold a bucket, as one table a task."""
     total = np.zeros((2, 1 << BITS), np.int64)
     every = np.arange(1 << BITS, dtype=np.int32)
-    for batch in batches:
+    for batch in tn.each(batches):
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j, texts in _slices(batch.column(0)):
             row, f = features(texts, every)
@@ -103,7 +103,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _active(slot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tn.each(batches):
             for i, j, texts in _slices(batch.column(0)):
                 row, f = features(texts, slot)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
@@ -172,7 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
 
 def _score(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tn.each(batches):
             at = batch.num_columns - 1
             out = [model.score(texts) for _, _, texts in _slices(batch.column(at))]
             score = pa.array(np.concatenate([*out, np.zeros(0)]))

@@ -1,0 +1,38 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from strandloom.llm import secret_scan as s
+
+ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A)
+
+
+def plain(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_base_spans(frame):
+    r = random.Random(3)
+    parts = ["token", "Secret", "API_KEY", "apikey", "paſſwd", "é中", '"', "'", " ", "=", ":", "abc", "12345678", "AKIA", "ABCDEFGH01234567", "0123456789abcdef" * 2, "\n", "x.y", "-"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25))), "o") for i in range(800)] + [(900, None, "o"), (901, "", None), (902, "pad " * 20_000 + "token=abcd1234", "o")]
+    got = s.secret_scan(frame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    text = {k: t or "" for k, t, _ in rows}
+    for x in got:
+        assert [(y["start"], y["kind"], y["end"]) for y in x["spans"] if y["kind"] < 3] == plain(text[x["doc_id"]])
+
+
+def test_owners_separate_examples_from_live_values(frame):
+    copied, own = "sk9Q2wErTyAB", "Zx81mNbVcQqr7"
+    rows = [(i, f"token = {copied}", f"src{i}") for i in range(5)] + [(10, f"password: {own}", "src0"), (11, f"log {own} end", "src1"), (12, "secret=example1234", "src2"), (10, f"password: {own}", "src0"), (13, f"say {copied}", "src3")]
+    got = s.secret_scan(frame(rows, "doc_id long, text string, source string")).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    verdict = {(x["doc_id"], x["kind"]): x["verdict"] for x in got}
+    assert all(verdict[(i, 0)] == "example" for i in range(5))
+    assert verdict[(10, 0)] == "live" and verdict[(11, 3)] == "live" and verdict[(12, 0)] == "unclear"
+    assert (13, 3) not in verdict
+    assert sum(x["doc_id"] == 10 for x in got) == 2
+    assert s.secret_scan(frame([], "doc_id long, text string, source string")).count() == 0
