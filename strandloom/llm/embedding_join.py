@@ -187,6 +187,6 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         node = node.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"))
         joined = rows.filter("good").select("vec_id", "h1", "h2").join(node, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")))
         joined = work.cut(joined.select("vec_id", "n_links", "component"), "joined")
-        least = joined.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+        least = work.cut(joined.groupBy("component").agg(F.min("vec_id").alias("component_id")), "least")
         alone = joined.join(least, "component").select("vec_id", "n_links", "component_id").unionByName(alone)
     return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

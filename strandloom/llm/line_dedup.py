@@ -110,6 +110,7 @@ def later_copies(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
     place = F.struct(*_DOC, "s")
     heads = named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     heads = heads.select(F.col("m").alias("m_"), F.col("a").alias("a_"), F.col("b").alias("b_"), "first")
+    heads = work.cut(heads, "heads")  # a plain table, so that a large interval is split in the join
     later = named.join(heads, (F.col("m") == F.col("m_")) & (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")))
     return later.filter(~place.eqNullSafe(F.col("first"))).select(*_DOC, "s", "m")
 

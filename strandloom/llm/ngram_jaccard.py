@@ -193,7 +193,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     comp = work.cut(connected_components(links, work), "components")
     classed = slim.filter("n > 0").join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid"))
     classed = work.cut(classed.select("doc_id", "n", "comp"), "classed")
-    least = classed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # a plain table, so that a large group is split in the join
+    least = work.cut(classed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     linked = classed.join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = slim.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
