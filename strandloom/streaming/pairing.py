@@ -12,7 +12,7 @@ OUTPUT = "qname string, first long, second long"
 STATE = "waiting array<long>"
 
 
-def _pair(timeout_ms: int):
+def _pair(timeout_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # the mate did not come: the read is single
             left = list(state.get[0])
@@ -28,7 +28,8 @@ def _pair(timeout_ms: int):
                 waiting.append(ord_)
         if waiting:
             state.update((waiting,))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["qname", "first", "second"]).astype({"second": "Int64"})
@@ -36,9 +37,10 @@ def _pair(timeout_ms: int):
     return run
 
 
-def pair_stream(records: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def pair_stream(records: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """(qname, first, second) of a stream of (qname, ord): the first and second read of a name are mates, and so on.
 
-    A read whose mate does not come within the timeout is given out alone, with a null second. A name has one waiting read at most.
+    With a timeout, a read whose mate does not come within it is given out alone, with a null second; without
+    one it waits on. A name has one waiting read at most.
     """
-    return records.select("qname", "ord").groupBy("qname").applyInPandasWithState(_pair(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return records.select("qname", "ord").groupBy("qname").applyInPandasWithState(_pair(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

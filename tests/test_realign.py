@@ -183,10 +183,13 @@ def test_pair_stream(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     schema = "qname string, ord long"
     spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("a", 5)], schema).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(schema).parquet(src)
-    q = pair_stream(stream).writeStream.format("memory").queryName("pairs_out").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").start()
-    q.processAllAvailable()
+
+    def run():
+        out = pair_stream(spark.readStream.schema(schema).parquet(src)).writeStream.format("parquet").outputMode("append")
+        out.option("checkpointLocation", f"file://{tmp_path}/ck").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
     spark.createDataFrame([("b", 9), ("a", 7)], schema).coalesce(1).write.mode("append").parquet(src)
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r["qname"], r["first"], r["second"]) for r in spark.table("pairs_out").collect()) == [("a", 1, 3), ("a", 5, 7), ("b", 2, 9)]
+    run()
+    got = spark.read.schema("qname string, first long, second long").parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r["qname"], r["first"], r["second"]) for r in got) == [("a", 1, 3), ("a", 5, 7), ("b", 2, 9)]
