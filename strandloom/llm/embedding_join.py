@@ -131,7 +131,7 @@ def _tree_pairs(boxes: DataFrame, blocks: int, lead: int, eps: float, work: Work
         up = levels[-1].groupBy(F.expr(f"node div {FAN}").alias("node")).agg(F.array(*[F.min(F.get("lo", i)) for i in range(lead)]).alias("lo"), F.array(*[F.max(F.get("hi", i)) for i in range(lead)]).alias("hi"))
         levels.append(work.cut(up, "tree"))
         n = -(-n // FAN)
-    pairs = work.spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = levels[-1].select(F.col("node").alias("a"), F.col("node").alias("b"))  # the root with itself
     for level in reversed(levels[:-1]):
         side = lambda x: level.select(F.col("node").alias(x), F.expr(f"node div {FAN}").alias(f"up_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))  # noqa: B023, E731
         down = pairs.withColumnsRenamed({"a": "up_a", "b": "up_b"}).join(side("a"), "up_a").join(side("b"), "up_b").filter("a <= b")
