@@ -18,7 +18,8 @@ from .. import schema as S
 from ..functions import cigar as C
 from ..functions import sam
 from ..operators import intervals, pairs, reference
-from ..operators.align import GLOBAL, LOCAL, SEMI, Options, cigar, cost_grid, realign, rebase
+from ..operators.align import GLOBAL, LOCAL, SEMI, Options, cigar, cost_grid, realign_many, rebase
+from ..operators.order import cut
 from ..sources import alignments as A
 from ..sources import costs as K
 from ..sources import sequences as Q
@@ -57,13 +58,16 @@ _ALN = "array<struct<score:long,pos:long,end:long,cigar:string,main:boolean>>"
 def _kernel(costs: dict, mangles: dict | None, options: Options):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for rname, window, read, qual, lo, hi in zip(batch["rname"], batch["window"], batch["read"], batch["read_qual"], batch["win_lo"], batch["win_hi"], strict=True):
-                grid = cost_grid(rebase(costs[rname], lo, hi), len(window), len(read))
-                if mangles is not None:
-                    grid = K.mangle_grid(grid, mangles[rname], lo, qual)
-                found = realign(window, read, grid, options)
-                out.append([{"score": x.score, "pos": lo + x.a[0], "end": lo + x.a[-1], "cigar": cigar(x.a, x.b, len(read)), "main": main} for x, _, main in found])
+            rows = list(zip(batch["rname"], batch["window"], batch["read"], batch["read_qual"], batch["win_lo"], batch["win_hi"], strict=True))
+            out: list = [None] * len(rows)
+            for first in range(0, len(rows), 512):
+                problems = []
+                for rname, window, read, qual, lo, hi in rows[first : first + 512]:
+                    grid = cost_grid(rebase(costs[rname], lo, hi), len(window), len(read))
+                    problems.append((window, read, grid if mangles is None else K.mangle_grid(grid, mangles[rname], lo, qual)))
+                for q, found in realign_many(problems, options):
+                    lo = rows[first + q][4]
+                    out[first + q] = [{"score": x.score, "pos": lo + x.a[0], "end": lo + x.a[-1], "cigar": cigar(x.a, x.b, len(problems[q][1])), "main": main} for x, _, main in found]
             yield pd.DataFrame({"ord": batch["ord"], "alns": out})
 
     return run
@@ -105,7 +109,7 @@ def realign_records(records: DataFrame, sequences: DataFrame, costs: dict, probl
     if mangles is not None:
         note = note.when(~known(mangles), "no quality mangles")
     note = note.when((F.col("seq") == "") | (F.col("qual") == ""), "no sequence").otherwise("")
-    rows = rows.withColumns({"win_lo": wlo, "win_hi": whi, "note": note})
+    rows = cut(rows.withColumns({"win_lo": wlo, "win_hi": whi, "note": note}))  # two branches follow
 
     part = lambda c: F.col(c) if config.reclaim else F.substring(F.col(c), (F.col("clip0") + 1).cast("int"), F.greatest(F.length(c) - F.col("clip0") - F.col("clip1"), n0).cast("int"))
     todo = rows.filter("note = ''").select("ord", "rname", "win_lo", "win_hi", part("seq").alias("read"), part("qual").alias("read_qual"))

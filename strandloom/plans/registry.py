@@ -11,7 +11,7 @@ from ..functions import cigar as C
 from ..functions import mangle, merge, numeric, quality, sam
 from ..functions import text as X
 from ..operators import graphs, intervals, order, pairs, regions, suffix, trees
-from ..operators.align import GLOBAL, LOCAL, SEMI, Cost, Region, best_scores, cost_grid, fill
+from ..operators.align import GLOBAL, LOCAL, SEMI, Cost, Region, best_scores, cost_grid, fill_many
 from ..sources import alignments, sequences, tables
 from . import fixtures as T
 from . import realign
@@ -306,9 +306,10 @@ def _scores(spark, sf, mode):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                grid = cost_grid([Region(None, None, None, None, _COST)], len(a), len(b))
-                out.append(best_scores(fill(a, b, grid, mode), 1)[0])
+            pairs_ = list(zip(batch["a"], batch["b"], strict=True))
+            for i in range(0, len(pairs_), 256):
+                problems = [(a, b, cost_grid([Region(None, None, None, None, _COST)], len(a), len(b))) for a, b in pairs_[i : i + 256]]
+                out += [best_scores(t, 1)[0] for t in fill_many(problems, mode)]
             yield pd.DataFrame({"p_partkey": batch["p_partkey"], "score": out})
 
     rows = T.table(spark, sf, "part").select("p_partkey", T.dna(F.col("p_name")).alias("a"), T.dna(F.col("p_type")).alias("b"))
