@@ -33,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL["dir"]
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: rows of whole texts that go to Python at a time, where the session keeps Spark's default
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow batches of texts; a session that sets its own number of rows keeps it."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 class Work:
     """Work tables of one operator call: ``cut`` writes a frame and reads it back."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

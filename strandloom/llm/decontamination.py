@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import free_name
+from .common import free_name, small_batches
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -90,23 +90,16 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list
 
 
 class Index:
-    """A block of benchmark items, equal ones as one."""
+    """A block of benchmark items, of distinct words each: (item, how many items have its words, text)."""
 
-    def __init__(self, ids: list, texts: list[str | None], min_match: int):
+    def __init__(self, rows: list[tuple], min_match: int):
         self.min_match = min_match
-        h, row, _, _ = tn.words(*tn.text_bytes(pa.array(texts, pa.string())), tn.NOT_ALNUM)
-        ends = np.searchsorted(row, np.arange(len(texts) + 1))
-        self.items: list[tuple[list, np.ndarray]] = []
-        seen: dict[bytes, int] = {}
-        for i, item in enumerate(ids):
-            words = h[ends[i] : ends[i + 1]]
-            if len(words) < min_match:
-                continue  # too short to be told from common words
-            k = seen.setdefault(words.tobytes(), len(self.items))
-            if k == len(self.items):
-                self.items.append(([], words))
-            self.items[k][0].append(item)
-        seeds = [tn.shingles(w, np.zeros(len(w), np.int64), min_match)[0] for _, w in self.items]
+        h, row, _, _ = tn.words(*tn.text_bytes(pa.array([t for _, _, t in rows], pa.string())), tn.NOT_ALNUM)
+        ends = np.searchsorted(row, np.arange(len(rows) + 1))
+        words = [h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # shorter ones are not to be told from common words
+        self.items = [(item, n, w) for (item, n, _), w in zip(rows, words, strict=True) if len(w) >= min_match]
+        seeds = [tn.shingles(w, np.zeros(len(w), np.int64), min_match)[0] for _, _, w in self.items]
         seed = np.concatenate([*seeds, np.zeros(0, _U)])
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         order = np.argsort(seed, kind="stable")
@@ -123,10 +116,10 @@ class Index:
         pairs = {(int(at[hit[i]]), int(o)) for i in np.flatnonzero(hi > lo) for o in self.owner[lo[i] : hi[i]]}
         for r, o in sorted(pairs):
             a, b = np.searchsorted(row, [r, r + 1])
-            yield r, o, tiles(h[a:b], self.items[o][1], self.min_match), len(self.items[o][1])
+            yield r, o, tiles(h[a:b], self.items[o][2], self.min_match), len(self.items[o][2])
 
 
-_OUT = "item_id {item}, item_ids array<{item}>, n_tiles int, matched_words int, item_words int, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
+_OUT = "item_id {item}, n_items long, n_tiles int, matched_words int, item_words int, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
 
 
 def _scan(index: Index, coverage: float, types: list[pa.DataType]):
@@ -139,44 +132,57 @@ def _scan(index: Index, coverage: float, types: list[pa.DataType]):
                 for r, o, found, n in index.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     matched = sum(k for _, _, k in found)
                     if matched >= coverage * n:
-                        ids = sorted(index.items[o][0], key=lambda x: (x is not None, x))
                         rows.append(i + r)
-                        out.append((ids[0], ids, len(found), matched, n, matched / n, [dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in found]))
-            kinds = [item_type, pa.list_(item_type), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(tile)]
-            names = ["item_id", "item_ids", "n_tiles", "matched_words", "item_words", "coverage", "tiles"]
+                        out.append((*index.items[o][:2], len(found), matched, n, matched / n, [dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in found]))
+            kinds = [item_type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(tile)]
+            names = ["item_id", "n_items", "n_tiles", "matched_words", "item_words", "coverage", "tiles"]
             cols = [pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *cols], ["doc_id", *names])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list, list]]:
-    """The benchmark in blocks of about ``block_chars`` characters."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+def _words(text: Column) -> Column:
+    """The words of a text, as the tiling sees them, with single spaces."""
+    folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(folded, "[\\x00-\\x7F&&[^0-9a-z]]+", " "))
+
+
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, item_id): the item that stands for each item in the results, the smallest of those with the same words."""
+    items = benchmark.select(F.col(id_col).alias("item"), _words(F.col(text_col)).alias("words")).filter("words <> ''")
+    least = items.groupBy("words").agg(F.min("item").alias("item_id"))
+    return items.join(least, "words").select("item", "item_id")
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
+    """The distinct items, (smallest id, number of items, words), in blocks of about ``block_chars`` characters."""
+    items = benchmark.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words")).filter("words <> ''")
+    items = items.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    total = items.agg(F.sum(F.length("words"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        rows = block.collect()  # about block_chars characters; equal texts are in one block
-        yield [r["id"] for r in rows], [r["text"] for r in rows]
+        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
+        yield [(r["id"], r["n"], r["words"]) for r in block.collect()]  # about block_chars characters
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, item_ids, n_tiles, matched_words, item_words, coverage, tiles): the documents in which tiles
+    """(doc_id, item_id, n_items, n_tiles, matched_words, item_words, coverage, tiles): the documents in which tiles
     cover ``coverage`` of an item's words or more.
 
-    Items of equal words are one (item_id is the smallest of item_ids); items of
+    The ``n_items`` items of equal words are one, the smallest (``item_classes`` lists them); items of
     fewer than ``min_match`` words and null texts match nothing; null and empty documents match
     nothing; repeated documents are reported each. Empty tables give no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     item = benchmark.schema[item_col].dataType
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + _OUT.format(item=item.simpleString())
     out = None
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
-        found = rows.mapInArrow(_scan(Index(ids, texts, min_match), coverage, [to_arrow_type(item)]), schema)
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        found = rows.mapInArrow(_scan(Index(block, min_match), coverage, [to_arrow_type(item)]), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
@@ -197,7 +203,8 @@ def _clean(index: Index, coverage: float):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that ``find_contamination`` does not report, with all their columns."""
-    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_chars):
+    small_batches(docs.sparkSession)
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         schema = docs.schema
-        docs = docs.withColumn(free_name(docs, "text_"), F.col(text_col)).mapInArrow(_clean(Index(ids, texts, min_match), coverage), schema)
+        docs = docs.withColumn(free_name(docs, "text_"), F.col(text_col)).mapInArrow(_clean(Index(block, min_match), coverage), schema)
     return docs

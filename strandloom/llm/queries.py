@@ -56,7 +56,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "item_id", "item_ids", "n_tiles", "matched_words", "item_words", "coverage")
+    return out.select("doc_id", "item_id", "n_items", "n_tiles", "matched_words", "item_words", "coverage")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

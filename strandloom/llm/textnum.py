@@ -6,6 +6,7 @@ so that scratch arrays stay small, whatever the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ _P = U(0x5851F42D4C957F2D)
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; the memory of a batch goes back to the system before the next one comes."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
     for batch in batches:
         yield batch
         del batch
         pa.default_memory_pool().release_unused()
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

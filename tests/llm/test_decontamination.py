@@ -44,13 +44,14 @@ def test_documents(spark, frame):
         [(1, "x " + ITEM.upper() + ". y", "k"), (2, turned, "k"), (3, half, "k"), (4, None, "k"), (5, "", "k"), (6, words(3000, 40_000) + "\n" + ITEM + "\n" + words(3000, 9000), "k"), (1, ITEM, "k"), (None, ITEM, "k"), (7, words(3000, 40_000), "k")],
         "doc_id long, text string, item_id string",
     )
-    bench = frame([(9, ITEM), (8, ITEM), (10, "too short"), (11, None), (12, "")], "item_id long, text string")
+    bench = frame([(9, ITEM), (8, ITEM.upper() + "."), (10, "too short"), (11, None), (12, "")], "item_id long, text string")
     for block in (d.BLOCK_CHARS, 100):
         got = d.find_contamination(docs, bench, block_chars=block).collect()
         assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 1, 2, 6]
-        assert all(r["item_id"] == 8 and r["item_ids"] == [8, 9] and r["coverage"] == 1 for r in got)
+        assert all(r["item_id"] == 8 and r["n_items"] == 2 and r["coverage"] == 1 for r in got)
         assert {r["n_tiles"] for r in got if r["doc_id"] == 2} == {3}
         assert sorted(r["doc_id"] for r in d.remove_contaminated(docs, bench, block_chars=block).collect()) == [3, 4, 5, 7]
+    assert sorted(tuple(r) for r in d.item_classes(bench).collect()) == [(8, 8), (9, 8), (10, 10)]
     assert d.find_contamination(docs, frame([], "item_id long, text string")).count() == 0
     assert d.find_contamination(frame([], "doc_id long, text string"), bench).count() == 0
     assert d.remove_contaminated(docs, frame([], "item_id long, text string")).count() == 9
