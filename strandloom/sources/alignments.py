@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from .lines import FILE_BITS, nth, read_lines
+from .lines import FILE_BITS, nth, read_gzip_lines, read_lines
 from .tables import cells
 
 
@@ -41,7 +41,9 @@ def parse_sam(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_sam(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    return parse_sam(read_lines(spark, paths))
+    """Text, also gzip (``.gz`` by Spark's codec, ``.gzip`` unpacked here)."""
+    one = paths if isinstance(paths, str) else paths[0]
+    return parse_sam((read_gzip_lines if one.endswith(".gzip") else read_lines)(spark, paths))
 
 
 # The codes of the binary format

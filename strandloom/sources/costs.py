@@ -80,6 +80,12 @@ class MangleSet:
         return next((i for i, m in enumerate(self.mangles) if m.low <= quality <= m.high), None)
 
 
+def rebase_mangles(sets: list[MangleSet], start: int, end: int) -> list[MangleSet]:
+    """The sets that touch reference places start..end-1, cut to them and moved so that ``start`` is 0; the default stays."""
+    own = [s for s in sets if s.low is None or (s.low < end and s.high > start)]
+    return [s if s.low is None else MangleSet(max(s.low - start, 0), min(s.high, end) - start, s.mangles) for s in own]
+
+
 def _ops(words: list[str]) -> tuple[tuple[str, int], ...]:
     text = " ".join(words)
     found = re.findall(r"([-+*/=])\s*(-?\d+)", text)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,5 +31,24 @@ def read_lines(spark: SparkSession, paths: str | list[str], line_sep: str = "\n"
     return frame.select(ord_.alias("ord"), index.alias("file_idx"), "value")
 
 
+def read_gzip_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same for gzip files of any suffix; a file is read by one task, as gzip cannot be split."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    frame = spark.read.format("binaryFile").load(paths)
+    listed = F.split(F.lit("\n".join(sorted(frame.inputFiles(), key=lambda f: (min((i for i, p in enumerate(paths) if f.endswith(p)), default=len(paths)), f)))), "\n")
+    frame = frame.select((F.array_position(listed, F.col("_metadata.file_path")) - 1).cast("int").alias("file_idx"), "content")
+    return frame.mapInPandas(_unpack, "ord long, file_idx int, value string")
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for file_idx, content in zip(batch["file_idx"], batch["content"], strict=True):
+            lines = gzip.decompress(bytes(content)).decode().split("\n")
+            lines = lines[:-1] if lines[-1] == "" else lines
+            for i in range(0, len(lines), 10_000):
+                part = lines[i : i + 10_000]
+                yield pd.DataFrame({"ord": [(int(file_idx) << FILE_BITS) + i + k for k in range(len(part))], "file_idx": int(file_idx), "value": part})
+
+
 def nth(cells: Column, i: int) -> Column:
     return F.coalesce(F.get(cells, i), F.lit(""))

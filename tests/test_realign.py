@@ -139,6 +139,24 @@ def test_text_sources(spark, files, tmp_path):
     assert Q.read_indexed(spark, f"file://{tmp_path}/i.parquet", first, 3, 4).first()["seq"] == "TGTC"
 
 
+def test_gzip_and_points(spark, files, tmp_path):
+    from strandloom.sources.points import read_points
+
+    a = sam(("r", 0, "c", 5, 60, "3M", "*", 0, 0, "ACG", "555"), ("s", 0, "c", 6, 60, "3M", "*", 0, 0, "ACG", "555"))
+    for name in ("a.sam.gz", "a.sam.gzip"):
+        (tmp_path / name).write_bytes(gzip.compress(a.encode()))
+        records, headers = A.read_alignments(spark, f"file://{tmp_path}/{name}")
+        assert [r["qname"] for r in records.orderBy("ord").collect()] == ["r", "s"] and headers.count() == 1
+    path = files("p.tsv", "x\tkind\tn\n1.5\tb\t3\nz\ta\t4x\n2\tb\t5\n")
+    rows, levels = read_points(spark, path, {"kind": "cat", "n": "int", "x": "flt"})
+    assert [(r["kind"], r["n"], r["x"]) for r in rows.orderBy("ord").collect()] == [(0, 3, 1.5), (1, 4, None), (0, 5, 2.0)]
+    assert {r["level"]: r["code"] for r in levels["kind"].collect()} == {"b": 0, "a": 1}
+    with pytest.raises(ValueError):
+        read_points(spark, path, {"y": "int"})
+    sets = K.parse_mangles("r x\nq 33\nQ\nP 5 9\nq 35\nQ\nP 20 30\nq 35\nQ\nR\n")["x"]
+    assert [(s.low, s.high) for s in K.rebase_mangles(sets, 6, 22)] == [(None, None), (0, 3), (14, 16)]
+
+
 def test_graph_text(spark, files):
     seq, edges = Q.parse_graph("g", "AC&x;G[x /]T")
     assert seq == "ACGT" and edges == [(0, 1), (1, 2), (2, 3)]
