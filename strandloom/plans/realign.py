@@ -114,6 +114,8 @@ def realign_records(records: DataFrame, sequences: DataFrame, costs: dict, probl
     part = lambda c: F.col(c) if config.reclaim else F.substring(F.col(c), (F.col("clip0") + 1).cast("int"), F.greatest(F.length(c) - F.col("clip0") - F.col("clip1"), n0).cast("int"))
     todo = rows.filter("note = ''").select("ord", "rname", "win_lo", "win_hi", part("seq").alias("read"), part("qual").alias("read_qual"))
     todo = reference.cut_windows(todo, sequences)
+    # the kernel takes milliseconds a read, so its rows are spread evenly, whatever the files are like
+    todo = todo.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "ord")
     options = Options(config.mode, config.rank, config.count, config.repeats)
     done = todo.select("ord", "rname", "window", "read", "read_qual", "win_lo", "win_hi").mapInPandas(_kernel(costs, mangles, options), f"ord long, alns {_ALN}")
     rows = rows.join(done.withColumnRenamed("ord", "_o"), F.col("ord") == F.col("_o"), "left").drop("_o")

@@ -313,6 +313,7 @@ def _scores(spark, sf, mode):
             yield pd.DataFrame({"p_partkey": batch["p_partkey"], "score": out})
 
     rows = T.table(spark, sf, "part").select("p_partkey", T.dna(F.col("p_name")).alias("a"), T.dna(F.col("p_type")).alias("b"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "p_partkey")
     return rows.mapInPandas(run, "p_partkey long, score long")
 
 
