@@ -9,15 +9,15 @@ agree on a block among the d+1 fullest blocks of each (d: the largest possible
 distance). Sets that agree on such a block meet in a bucket; pairs are screened by the
 Hamming distance of a short sketch and verified on the exact sets.
 
-In a bucket each set is first compared with the smallest and the largest set id only (two stars).
-Other pairs of a bucket that are then still in different components are compared as
+In a bucket each set is first compared with the smallest and the largest set id only (two stars), and
+then, where components are still apart, with sets drawn by hash. Other pairs of a bucket that are then still in different components are compared as
 well, so no link that joins two components is missed, and copies are not
 expanded into all pairs. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -112,6 +112,8 @@ def _verify(k: int, similarity: int):
     return run
 
 
+#: further stars of a bucket, around sets drawn by hash
+TURNS = 2
 #: words of the folded sketch that rows of unfinished buckets carry
 FOLDED = 8
 
@@ -160,21 +162,42 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
         return out
 
     links = verified(stars, "star")
-    # pairs of a bucket that the stars left in different components; its two ends are done
-    comp = connected_components(links, work)
-    left = met.filter("sid != lo and sid != hi").select("bucket", "sid", "n").distinct().join(comp, F.col("sid") == F.col("node"), "left").select("bucket", "sid", "n", F.coalesce("component", "sid").alias("comp"))
-    left = left.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).filter("lo < hi")
+    # rows of buckets whose sets the stars left in different components; the two ends of a bucket are done
     folded = sets.select(F.col("sid").alias("s"), *[x.alias(f"f{i}") for i, x in enumerate(_folded("sketch"))])
-    left = left.drop("lo", "hi").join(folded, F.col("sid") == F.col("s")).drop("s")
-    left = work.cut(left, "left")
-    side = lambda x: left.select("bucket", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), *[F.col(f"f{i}").alias(f"f{i}{x}") for i in range(FOLDED)])
-    # the distance of the folded sketches is part of the join, so that pairs too far apart are not made
-    apart = sum((F.bit_count(F.col(f"f{i}a").bitwiseXOR(F.col(f"f{i}b"))) for i in range(1, FOLDED)), F.bit_count(F.col("f0a").bitwiseXOR(F.col("f0b"))))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (apart * (100 + similarity) <= (F.col("na") + F.col("nb")) * (100 - similarity))
-    cross = side("a").join(side("b"), "bucket").filter("ca < cb").filter(near)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = met.filter("sid != lo and sid != hi").select("bucket", "sid", "n").distinct()
+
+    def unfinished(rows: DataFrame, tag: str) -> DataFrame:
+        comp = connected_components(links, work)
+        left = rows.join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
+        left = left.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).filter("lo < hi").drop("lo", "hi")
+        if "f0" not in left.columns:
+            left = left.join(folded, F.col("sid") == F.col("s")).drop("s")
+        return work.cut(left, tag)
+
+    def near(a: Callable[[str], F.Column], b: Callable[[str], F.Column]) -> F.Column:
+        """Different components, like sizes, and folded sketches that are near enough."""
+        apart = reduce(lambda x, y: x + y, [F.bit_count(a(f"f{i}").bitwiseXOR(b(f"f{i}"))) for i in range(FOLDED)])
+        sizes = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity
+        return (a("comp") != b("comp")) & sizes & (apart * (100 + similarity) <= (a("n") + b("n")) * (100 - similarity))
+
+    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    left = unfinished(rows, "left")
+    work.drop(met)
+    for turn in range(TURNS):
+        # each set with one set of its bucket, another one in each bucket: as many pairs as rows
+        name = ["sid", "n", "comp", *[f"f{i}" for i in range(FOLDED)]]
+        one = F.min(F.struct(F.xxhash64("sid", "bucket", F.lit(turn)), *name)).over(bucket)
+        pairs = left.withColumn("one", one).filter(near(lambda c: F.col(c), lambda c: F.col("one")[c]))
+        pairs = pairs.select(F.col("sid").alias("x"), F.col("one")["sid"].alias("y")).select(*ordered).distinct()
+        links = work.cut(links.unionByName(verified(work.cut(pairs, f"turn{turn}"), f"turn{turn}")), f"links{turn}")
+        done, left = left, unfinished(left.drop("comp"), f"left{turn}")
+        work.drop(done)
+    # all pairs that are still open; the distance of the folded sketches is part of the join, so that pairs too far apart are not made
+    side = lambda x: left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in left.columns if c != "bucket"])
+    cross = side("x").join(side("y"), "bucket").filter("sid_x < sid_y").filter(near(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
+    cross = cross.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
     cross = work.cut(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    work.drop(met, left)
+    work.drop(left)
     links = links.unionByName(verified(cross, "cross"))
     return slim, links
 
