@@ -130,7 +130,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", max_byt
     universe = work.cut(corpus.unionByName(listed).groupBy("key").agg(F.max("block").alias("block"), F.max("allow").alias("allow")), "universe")
     built = {a: build_cascade(universe.select("key", F.col(a).alias("listed")), max_bytes) for a in ("block", "allow")}
     if any(c is None for c in built.values()):
-        return _joined(out, rules, shapes)
+        return _joined(out, rules, shapes, work)
     hit = lambda a: F.filter(keys, built[a].contains)
     mark = lambda a: F.transform(hit(a), lambda k: F.struct(F.length(k).alias("n"), (F.lit(a) == "block").alias("blocks"), k.alias("rule")))
     best = free_name(out, "best")
@@ -143,11 +143,12 @@ def _judged(out: DataFrame, best: str) -> DataFrame:
     return out.withColumns({"rule": F.col(best)["rule"], "verdict": verdict}).drop(best)
 
 
-def _joined(out: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+def _joined(out: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]], work: Work) -> DataFrame:
     """For lists whose cascade is too large for every task: a join on the key for each distinct host and path."""
     sites = out.select("host", "path").distinct()
     cand = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.explode(_keys(F.col("host"), F.col("path"), shapes)).alias("rule"))
     best = free_name(out, "best")
     got = cand.join(rules, "rule").groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("blocks"), "rule")).alias(best))
+    got = work.cut(got, "sites")  # a plain table, so that the join splits a site with many pages
     out = out.join(got, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
     return _judged(out, best)
