@@ -116,6 +116,54 @@ def test_trees(spark):
     assert same[0].count() == 0 and {x["node"] for x in same[1].collect()} == {1}
 
 
+def _plain_tree(x, y, classes):
+    """(dim, val, left, right) or a leaf's value, by all splits of each node."""
+    import numpy as np
+
+    def impurity(v):
+        return 0.0 if not len(v) else 1 - float((np.bincount(v, minlength=classes) ** 2).sum()) / len(v) ** 2 if classes else float(v.var())
+
+    best, found = impurity(y) / 2 - 1e-15, None
+    for d in range(x.shape[1]):
+        for v in np.unique(x[:, d])[:-1]:
+            low = x[:, d] <= v
+            score = (impurity(y[low]) + impurity(y[~low])) / 2
+            if score < best:
+                best, found = score, (d, v, low)
+    if not found:
+        return float(np.bincount(y, minlength=classes).argmax()) if classes else float(y.mean())
+    d, v, low = found
+    return d, float(v), _plain_tree(x[low], y[low], classes), _plain_tree(x[~low], y[~low], classes)
+
+
+def _nested(nodes, at=0):
+    dim, val, left, right, value = nodes[at]
+    return value if dim < 0 else (dim, val, _nested(nodes, left), _nested(nodes, right))
+
+
+def test_forest_is_whole_by_both_ways(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, 12, (120, 3)).astype(float), r.integers(0, 3, 120)
+    assert _nested([(n.dim, n.val, n.left, n.right, n.value) for n in trees.grow_tree(x, y, 3)]) == _plain_tree(x, y, 3)
+    # a chain deeper than 64 levels: each node parts the one lowest row from the rest
+    z = np.arange(90.0)
+    deep = {0: 0}
+    nodes = trees.grow_tree(z[:, None], 4.0**z, 0)
+    for i, n in enumerate(nodes):
+        deep |= {c: deep[i] + 1 for c in (n.left, n.right) if c >= 0}
+    assert sum(n.dim < 0 for n in nodes) == 90 and max(deep.values()) > 64
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id int, a double, b double, c double, y int")
+    f = ["a", "b", "c"]
+    small = trees.grow_forest(df, f, "y", trees=3, classes=3).cache()
+    large = trees.grow_forest(df, f, "y", trees=3, classes=3, local_cells=40).cache()  # ten rows: above, by aggregations
+    told = [{(k["tree"], k["node"]): (k["dim"], k["val"], (k["tree"], k["left_node"]), (k["tree"], k["right_node"]), k["value"]) for k in t.collect()} for t in (small, large)]
+    assert all(_nested(told[0], (t, 0)) == _nested(told[1], (t, 0)) for t in range(3))
+    leaves = [sorted(map(tuple, trees.apply_forest(df, t, f, "id", local_cells=n).collect())) for t, n in ((small, 10**6), (large, 0))]
+    assert leaves[0] == leaves[1] and len(leaves[0]) == 360
+
+
 def test_category_split_and_impurity(spark):
     import numpy as np
 
