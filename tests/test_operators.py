@@ -164,6 +164,19 @@ def test_forest_is_whole_by_both_ways(spark):
     assert leaves[0] == leaves[1] and len(leaves[0]) == 360
 
 
+def test_registered_forests_are_whole(spark, tmp_path, monkeypatch):
+    from strandloom.plans import registry
+
+    grown = []
+    monkeypatch.setattr(trees, "apply_forest", lambda df, forest, *a, f=trees.apply_forest, **k: (grown.append(forest), f(df, forest, *a, **k))[1])
+    rows = [(i, i % 2, [0.5] * 40 + [float(i % 2)] + [0.5] * 23) for i in range(20)]  # only component 40 tells the label
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all(x["vote"] == x["vec_id"] % 2 for x in registry.forest_classify(spark, str(tmp_path)).collect())
+    spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    assert registry.forest_regress(spark, str(tmp_path)).count() == 9
+    assert [f.select("tree").distinct().count() for f in grown] == [1024, 1024]
+
+
 def test_category_split_and_impurity(spark):
     import numpy as np
 
