@@ -32,25 +32,34 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _check_round(done: int, most: int | None) -> None:
+    if most is not None and done >= most:
+        raise RuntimeError(f"not finished after {most} rounds")
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, level, cyclic): the longest path to a node from a node without edges into it. Nodes on or
     behind a cycle get no level; ``cyclic`` says that a node is on a cycle or leads from one to another.
 
     A round takes off all nodes that no remaining edge leads to; then, from the other end, all that lead nowhere.
+    More rounds than ``max_rounds`` are an error.
     """
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
     left = cut(nodes.select("node").distinct())
     live = edges
     done, level = None, 0
-    while level < max_rounds:
+    while True:
         free = cut(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
             break
+        _check_round(level, max_rounds)
         found = free.withColumn("level", F.lit(level))
         done = found if done is None else done.unionByName(found)
         left = cut(left.join(free, "node", "left_anti"))
         live = cut(live.join(free, F.col("src") == F.col("node"), "left_anti"))
         level += 1
+        if level % 16 == 0:  # a short plan
+            done = cut(done)
     core = live
     while not left.isEmpty():  # trim what only follows the cycles
         out = core.select(F.col("src").alias("node")).distinct()
@@ -66,18 +75,19 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_
     return done.select("node", "level", F.lit(False).alias("cyclic")).unionByName(rest)
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
     Forward colouring: every node takes the largest colour (node) that reaches it; the nodes of a colour that reach
-    its root backwards within the colour are a component and leave; the rest begins anew.
+    its root backwards within the colour are a component and leave; the rest begins anew. More rounds than ``max_rounds`` are an error.
     """
     live = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     left = cut(nodes.select("node").distinct())
     done = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    rounds = 0
+    while not left.isEmpty():
+        _check_round(rounds, max_rounds)
+        rounds += 1
         colour = left.withColumn("c", F.col("node"))
         while True:
             pushed = live.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("c").alias("m"))
@@ -93,6 +103,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
             front = cut(inner.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "c").distinct().join(reach, "node", "left_anti"))
             reach = reach.unionByName(front)
         done = reach if done is None else done.unionByName(reach)
+        if rounds % 16 == 0:  # a short plan
+            done = cut(done)
         left = cut(left.join(reach, "node", "left_anti"))
         live = cut(live.join(reach.select(F.col("node").alias("src")), "src", "left_anti").join(reach.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if done is None:

@@ -177,6 +177,27 @@ def test_registered_forests_are_whole(spark, tmp_path, monkeypatch):
     assert [f.select("tree").distinct().count() for f in grown] == [1024, 1024]
 
 
+def test_kd_tree_and_graphs_go_to_their_end(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, 2.0**-i) for i in range(66)], "id int, a double")
+    nodes, leaves = trees.kd_tree(df, ["a"], "id")
+    assert leaves.count() == 66 and leaves.select("node").distinct().count() == 66
+    up = {c: x["node"] for x in nodes.collect() for c in (x["left_node"], x["right_node"])}
+    assert len(up) == 130
+
+    def depth(n):
+        return 1 + depth(up[n]) if n in up else 0
+
+    assert {x["id"]: depth(x["node"]) for x in leaves.collect()} == {i: min(i + 1, 65) for i in range(66)}
+    chain = spark.createDataFrame([(i + 1, i) for i in range(4)], "src int, dst int")
+    dots = spark.range(5).select(F.col("id").cast("int").alias("node"))
+    for f in (graphs.topological_levels, graphs.strong_components):
+        assert f(dots, chain).count() == 5
+        with pytest.raises(RuntimeError):
+            f(dots, chain, max_rounds=1).count()
+
+
 def test_category_split_and_impurity(spark):
     import numpy as np
 
