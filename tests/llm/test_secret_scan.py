@@ -36,3 +36,16 @@ def test_owners_separate_examples_from_live_values(frame):
     assert (13, 3) not in verdict
     assert sum(x["doc_id"] == 10 for x in got) == 2
     assert s.secret_scan(frame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_copies_of_live_values_beside_other_characters(frame):
+    long, short, split = "Zx81mNbVcQqr7", "Zx81mNbV", "q-Ab3/x.Kd92Lm="
+    texts = [f"log {short} end", f"is {long}.", f"?key={long}", f"a/{split}-z {short}", f"é {long}/{short}_ x", f"x{long} {short}9", f"{long}.token=abcd1234", f"password: {long}/tail1234"]
+    rows = [(i, f"token = {v}", "o") for i, v in enumerate([long, short, split])] + [(10 + i, t, "o") for i, t in enumerate(texts)]
+    got = s.secret_scan(frame(rows, "doc_id long, text string, source string")).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*").collect()
+    found = {}
+    for x in got:
+        if x["kind"] == 3:
+            assert {k: t for k, t, _ in rows}[x["doc_id"]][x["start"] : x["end"]] == x["value"] and x["verdict"] == "live"
+            found.setdefault(x["doc_id"], []).append(x["value"])
+    assert found == {10: [short], 11: [long], 12: [long], 13: [split, short], 14: [long, short], 16: [long]}
