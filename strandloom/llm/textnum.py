@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 SLICE_BYTES = 400_000
@@ -61,14 +62,9 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         i = j
 
 
-def _table(fold: bool) -> np.ndarray:
-    b = np.arange(256, dtype=np.uint8)
-    if fold:
-        b[65:91] += 32
-    return mix(b.astype(U) + U(1))
-
-
-FOLD = _table(True)
+#: A-Z folded to a-z
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: everything but ASCII letters, digits and bytes of longer characters
@@ -87,6 +83,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: the low n bytes of a number
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: words of more bytes are hashed one by one
+LONG = 64
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros beyond the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: eight bytes at a step, mixed into the hash of what came before."""
+    eight, size = loads(data), end - start
+    h = mix(size.astype(U))
+    todo, at = np.flatnonzero(size <= LONG), 0
+    while len(todo):
+        h[todo] = mix(h[todo] ^ (eight[start[todo] + at] & LOW[np.minimum(size[todo] - at, 8)]))
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, ...]:
     """(hash, row, start, end) of each word, A-Z folded to a-z; start and end in bytes of ``data``."""
     n = len(data)
@@ -98,11 +119,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     edge = offsets[(offsets > 0) & (offsets < n)]
     before[edge], after[edge - 1] = True, True
     start, end = np.flatnonzero(before & ~sep), np.flatnonzero(after & ~sep) + 1
-    up, down = _powers(max(n, SLICE_BYTES) + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(FOLD[data] * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-    return h, np.searchsorted(offsets, start, "right") - 1, start, end
+    return span_hashes(FOLD[data], start, end), np.searchsorted(offsets, start, "right") - 1, start, end
 
 
 _ODD = mix(np.arange(1, 65, dtype=U)) | U(1)

@@ -4,7 +4,7 @@ import re
 
 from strandloom.llm import ngram_jaccard as j
 
-from .conftest import words
+from .conftest import even_and_odd, words
 
 
 def shingles(text):
@@ -72,6 +72,12 @@ def test_no_rows(frame):
     assert j.ngram_jaccard_components(frame([(1, None)], "doc_id long, text string")).collect() == [(1, 0, 1)]
 
 
+def test_words_of_one_polynomial_hash_are_not_linked(frame):
+    rows = list(enumerate(even_and_odd()))
+    got = j.ngram_jaccard_components(frame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(x) for x in got) == [(0, 1, 0), (1, 1, 1)]
+
+
 def test_blocks_hold_the_pigeonhole_bound():
     """Similar sets share a bucket, for all sizes of small sets."""
     import numpy as np

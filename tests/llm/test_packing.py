@@ -7,7 +7,8 @@ import pytest
 
 from strandloom.llm import packing as p
 from strandloom.llm.queries import tokenizer_path
-from strandloom.llm.tokens import Encoder
+
+from .test_tokens import library
 
 
 def check_plan(counts, length=1024):
@@ -45,13 +46,12 @@ def test_small_plans():
 
 
 def test_pieces_and_places(frame):
-    texts = {1: None, 2: "", 3: "a few words", 4: "word " * 3000, 5: "same text", 6: "same text", 7: "é中\x1c <|endoftext|>"}
+    texts = {1: None, 2: "", 3: "a few words", 4: "word " * 3000, 5: "same text", 6: "same text", 7: "é中\x1c <|endoftext|>", 8: "end <|endoftext|> more"}
     rows = [(k, v, 9) for k, v in texts.items()] + [(5, "same text", 9), (None, "same text", 9)]
     got = p.pack_documents(frame(rows, "doc_id long, text string, piece int"), tokenizer_path(), length=64).collect()
-    enc = Encoder(tokenizer_path())
     want = collections.Counter()
     for k, v, _ in rows:
-        ids = [*enc._library([v or ""])[0], 2]
+        ids = [*library([v or ""])[0], 2]
         first = len(ids) % 64 or 64
         cuts = [0, *range(first, len(ids), 64), len(ids)]
         for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
