@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import Work, shuffle_partitions
-from .tokens import Encoder
+from .tokens import encoder
 
 END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
@@ -32,7 +32,7 @@ PAGE_ROWS = 512
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         part, total = TaskContext.get().partitionId(), 0
         for batch in tn.each(batches):
             for first, ids, n in enc.encode(batch.column(1)):
