@@ -4,8 +4,12 @@ Documents are encoded and cut into pieces of at most ``length`` ids. The counts
 of the pieces by length (``length`` numbers, whatever the corpus) are all that the plan needs:
 large lengths are rounded up within groups of equal counts, the few sizes that
 remain are packed by the best mix of configurations (column generation on the
-configuration programme), the real lengths then take the places of their group,
-and small pieces go best-fit into the gaps, and then into new sequences. The
+configuration programme), the real lengths then take the places of their group
+(what rounding leaves free in a sequence goes to its next place, so that a longer piece
+fits there, and a piece more if one fits), and what is left goes best-fit into the gaps,
+and then into new sequences. As real lengths do not use up the groups evenly, lengths
+are grouped anew for each round of configurations. A few plans are made, and the one with the
+fewest sequences is taken. The
 plan is a list of runs: a run gives the pieces of one length with
 neighbouring ranks the same offset in neighbouring sequences. Pieces find their
 run by length and rank, so that the corpus is packed by one sort and one join
@@ -15,6 +19,7 @@ with the plan.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,19 +30,22 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import Work, global_row_numbers
-from .tokens import Encoder
+from .tokens import encoder
 
 LENGTH = 1024
 END_ID = 2
-#: groups of large lengths
-GROUPS = 160
+#: plans that are made: groups of large lengths, and hundredths of a mix of configurations that are
+#: used before the rest is grouped anew; no groups is best-fit decreasing
+TRIALS = ((40, 100), (40, 75), (0, 100))
 #: lengths over this part of a sequence are large
 LARGE = 1 / 8
+#: the mix of configurations is improved until no more than this part of it can be saved
+ENOUGH = 1e-3
 
 
 def _pieces(path: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for batch in tn.each(batches):
             for first, ids, n in enc.encode(batch.column(1)):
                 rows, piece, start, size, crc, parts = [], [], [], [], [], []
@@ -99,7 +107,7 @@ def configurations(sizes: list[int], need: list[int], length: int, most: int = 4
     for _ in range(most):
         value = np.linalg.solve(basis.T, np.ones(k))
         gain, new = _best_configuration(value, sizes, length)
-        if gain <= 1 + 1e-9:
+        if gain <= 1 + ENOUGH:
             break
         step = np.linalg.solve(basis, np.array(new, float))
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
@@ -122,7 +130,8 @@ class _Bins:
 class Plan:
     """Runs (length, first rank, count, first sequence, offset), from counts by length."""
 
-    def __init__(self, counts: dict[int, int], length: int = LENGTH, groups: int = GROUPS):
+    def __init__(self, counts: dict[int, int], length: int = LENGTH, groups: int = TRIALS[0][0], part: int = 100):
+        self.part = part
         self.length, self.runs, self.sequences = length, [], 0
         self.rank = dict.fromkeys(counts, 0)
         self.left = dict(counts)
@@ -130,8 +139,9 @@ class Plan:
         for n in (length,):  # full pieces need no plan
             if self.left.get(n):
                 self._put(n, self._new(self.left[n]))
-        large = sorted((s for s in counts if length * LARGE < s < length and self.left[s]), reverse=True)
-        self._large(large, groups)
+        self.large = sorted(s for s in counts if length * LARGE < s < length and self.left[s])
+        while groups and sum(self.left[s] for s in self.large) > groups and self._round(groups):
+            pass
         for s in sorted((s for s in self.left if self.left[s]), reverse=True):
             self._best_fit(s)
 
@@ -147,10 +157,13 @@ class Plan:
         self.left[size] -= b.count
         b.used += size
 
-    def _large(self, sizes: list[int], groups: int) -> None:
+    def _round(self, groups: int) -> int:
+        """Use a part of the best mix of configurations for the large lengths that are left; the number of sequences begun.
+
+        The rest is grouped anew, as the real lengths do not use up the groups evenly.
+        """
+        sizes = [s for s in reversed(self.large) if self.left[s]]
         total = sum(self.left[s] for s in sizes)
-        if not total:
-            return
         # groups of (nearly) equal counts, by descending length; each is rounded up to its largest
         grouped: list[list[int]] = []
         seen = 0
@@ -161,27 +174,43 @@ class Plan:
             seen += self.left[s]
         tops = [g[0] for g in grouped]
         need = [sum(self.left[s] for s in g) for g in grouped]
-        for config, times in configurations(tops, need, self.length):
-            if times:
-                self._fill([self._new(times)], [g for g, n in enumerate(config) for _ in range(n)], grouped)
-        # what rounding left over goes best-fit with the rest
-
-    def _fill(self, bins: list[_Bins], slots: list[int], grouped: list[list[int]]) -> None:
-        """The real lengths take the places of their group, the largest first; sequences are split where the length changes."""
-        for g in slots:
-            split = []
-            for b in bins:
-                while b.count:
-                    size = next((s for s in grouped[g] if self.left[s]), None)
-                    take = b.count if size is None else min(b.count, self.left[size])
-                    part = _Bins(b.first, take, b.used)
-                    if size is not None:
-                        self._put(size, part)
-                    split.append(part)
-                    b.first, b.count = b.first + take, b.count - take
-            bins = split
-        for b in bins:
-            self._keep(b)
+        before = self.sequences
+        for config, times in sorted(configurations(tops, need, self.length), key=lambda c: -c[1]):
+            self._fill(-(-times * self.part // 100), [tops[g] for g, n in enumerate(config) for _ in range(n)])
+        return self.sequences - before
+
+    def _fit(self, most: int) -> int | None:
+        """The longest large length of at most ``most`` that is left."""
+        i = bisect_right(self.large, most) - 1
+        while i >= 0 and not self.left[self.large[i]]:
+            del self.large[i]
+            i -= 1
+        return self.large[i] if i >= 0 else None
+
+    def _fill(self, count: int, slots: list[int]) -> None:
+        """``count`` sequences: real lengths take the places of their group, the longest first; sequences are split where the length changes.
+
+        A place also has what the places before it left free, and the last ones have all that is left.
+        """
+        while count and (size := self._fit(slots[0] if slots[1:] else self.length)):
+            todo = [(self._new(min(count, self.left[size])), 0, slots[0])]
+            count -= todo[0][0].count
+            while todo:
+                b, at, room = todo.pop()
+                if at >= len(slots) - 1:
+                    room = self.length - b.used
+                size = self._fit(room)
+                if size is not None:
+                    if b.count > self.left[size]:
+                        todo.append((_Bins(b.first + self.left[size], b.count - self.left[size], b.used), at, room))
+                        b.count = self.left[size]
+                    self._put(size, b)
+                if at < len(slots) - 1:
+                    todo.append((b, at + 1, room - (size or 0) + slots[at + 1]))
+                elif size is not None:
+                    todo.append((b, at + 1, 0))
+                else:
+                    self._keep(b)
 
     def _keep(self, b: _Bins) -> None:
         if b.count and b.used < self.length:
@@ -212,7 +241,12 @@ class Plan:
             self._keep(b)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS, with_ids: bool = True) -> DataFrame:
+def best_plan(counts: dict[int, int], length: int = LENGTH, trials: tuple = TRIALS) -> Plan:
+    """The plan of ``trials`` with the fewest sequences, the first of equals."""
+    return min((Plan(counts, length, *t) for t in trials), key=lambda p: p.sequences)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", trials: tuple = TRIALS, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset) for each piece.
 
     A null or empty text is its end id alone. Only documents longer than
@@ -229,8 +263,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     pieces = work.cut(pieces, "pieces")
     ranked = global_row_numbers(pieces, [F.col("length"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], work, "ranked", "rank", within="length")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # ``length`` rows at most
-    plan = Plan(counts, length, groups)
+    plan = best_plan(counts, length, trials)
     runs = spark.createDataFrame(plan.runs or [(0, 0, 0, 0, 0)], "size long, rank0 long, n long, seq0 long, offset long")
-    # the plan has a run for each change of length or configuration: it depends on `length` and `groups`, not on the corpus
+    # the plan has a run for each change of length or configuration: it depends on `length` and the groups, not on the corpus
     found = ranked.join(F.broadcast(runs), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("n")))
     return found.withColumn("sequence_id", F.col("seq0") + F.col("rank") - F.col("rank0")).drop("size", "rank0", "n", "seq0", "rank")

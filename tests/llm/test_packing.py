@@ -1,3 +1,4 @@
+import bisect
 import collections
 import random
 import zlib
@@ -12,7 +13,7 @@ from .test_tokens import library
 
 
 def check_plan(counts, length=1024):
-    plan = p.Plan(dict(counts), length)
+    plan = p.best_plan(dict(counts), length)
     ranks, bins = collections.defaultdict(list), collections.defaultdict(list)
     for size, first, n, seq, offset in plan.runs:
         for i in range(n):
@@ -29,6 +30,26 @@ def check_plan(counts, length=1024):
     return plan.sequences
 
 
+def best_fit_decreasing(counts, length=1024):
+    gaps = []
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            i = bisect.bisect_left(gaps, size)
+            gap = gaps.pop(i) if i < len(gaps) else length
+            bisect.insort(gaps, gap - size)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("low,high", [(1, 1024), (300, 700), (100, 600), (130, 400)])
+def test_plans_need_no_more_than_best_fit_decreasing(low, high):
+    r = random.Random(high)
+    counts = collections.Counter(r.randint(low, high) for _ in range(20_000))
+    grouped = min(p.Plan(dict(counts), 1024, *t).sequences for t in p.TRIALS if t[0])
+    best_fit = best_fit_decreasing(counts)
+    assert check_plan(counts) <= best_fit
+    assert grouped <= 1.001 * best_fit
+
+
 @pytest.mark.parametrize("low,high", [(1, 1024), (300, 700), (1, 60), (513, 1024)])
 def test_plans(low, high):
     r = random.Random(low)
