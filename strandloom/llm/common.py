@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,24 +36,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: rows of whole texts that go to Python at a time, where the session keeps Spark's default
+#: rows of whole texts that go to Python at a time while a work table is written, unless the session sets a number
 BATCH_ROWS = 512
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches of texts; a session that sets its own number of rows keeps it."""
-    if spark.conf.get(ARROW_ROWS) == "10000":
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the memory of Arrow batches of texts; afterwards the session is as it was."""
+    held = spark.conf.get(ARROW_ROWS, None)
+    if held is None:
         spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(ARROW_ROWS)
+
+
+#: the work folders that this process has begun
+_FOLDERS: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if at_exit:  # only a folder that is there is noted
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    else:
+        files.delete(p, True)
+
+
+def work_folders() -> int:
+    """How many work folders have been begun; ``sweep`` takes it."""
+    return len(_FOLDERS)
+
+
+def sweep(spark: SparkSession, after: int) -> None:
+    """Delete the work folders begun since ``work_folders`` gave ``after``; only when nothing reads them any more."""
+    for path in _FOLDERS[after:]:
+        _delete(spark, path)
+    del _FOLDERS[after:]
 
 
 class Work:
-    """Work tables of one operator call: ``cut`` writes a frame and reads it back."""
+    """Work tables of one operator call: ``cut`` writes a frame and reads it back. They go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _FOLDERS.append(self.root)
+        _delete(spark, self.root, at_exit=True)
 
     def path(self, tag: str) -> str:
         self.n += 1
@@ -59,7 +95,8 @@ class Work:
 
     def cut(self, df: DataFrame, tag: str) -> DataFrame:
         path = self.path(tag)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out
@@ -69,9 +106,7 @@ class Work:
         for df in frames:
             path = getattr(df, "_work_path", None)
             if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Work, shuffle_partitions
+from .common import Work, shuffle_partitions, small_batches
 from .tokens import encoder
 
 END_ID = 0
@@ -62,7 +62,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     stored = rows.mapInArrow(_encode(tokenizer, end_id), f"doc_id {kind}, part int, part_start long, n_tokens long, ids array<int>")
     options = {"parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
-    stored.write.options(**options).parquet(f"{path}/parts")
+    with small_batches(spark):
+        stored.write.options(**options).parquet(f"{path}/parts")
     # one row for each part
     parts = spark.read.schema(stored.schema).parquet(f"{path}/parts").groupBy("part").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,6 +73,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 def read_tokens(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """(doc_id, part, start, n_tokens, ids) of a store; columns that are not asked for are not read.
 
+    Null and repeated ids are as they were written; an empty store gives no rows.
     ``where`` may be a condition on doc_id; it reaches the page indexes.
     """
     rows = spark.read.parquet(f"{path}/parts")
@@ -94,7 +96,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_digests(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows of ``read_tokens``; the crc is of the
-    ids as little-endian unsigned 32-bit integers."""
+    ids as little-endian unsigned 32-bit integers. Each row is digested; no rows give none."""
     rows = tokens.select("doc_id", "start", "n_tokens", "ids")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_crc, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -1,11 +1,17 @@
+import collections
 import importlib
 import os
+import random
 
 import pytest
 
 from strandloom.llm import queries
 
+from .conftest import words
+from .test_ngram_jaccard import edited, shingles
+
 SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, lines_removed string, row_no int, rest string, tkey string"
 
 
 def test_registered():
@@ -16,6 +22,134 @@ def test_registered():
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with the tables ``labels`` and ``benchmark``; toxic texts hold words of their own."""
+    folder = tmp_path_factory.mktemp("tables")
+    labels = [(i, int(i % 4 == 0), 1) for i in range(400)] + [(None, 1, 1), (401, None, 1)]
+    spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"file://{folder}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string").write.parquet(f"file://{folder}/benchmark.parquet")
+    return f"file://{folder}"
+
+
+ITEM = words(40, 90_000)
+CLEAN = " kind thoughtful friendly sage"
+
+
+def row(k, text):
+    return (k, text, None, "s", None if text is None else len(text), "a", "b", 7, None, "t")
+
+
+def made():
+    """Rows with every edge: (kept by no later stage is decided by ``plain``)."""
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        text = words(60, 100 * i)
+        rows.append((i, text + (" vile stupid hateful scum" if i % 4 == 0 else CLEAN)))
+    long = words(20_000, 3)
+    passage = "\n".join(words(30, 50_000 + 30 * i) for i in range(4))
+    rows += [(1001, None), (1002, ""), (1003, " \t\n"), (None, "a text without an id" + CLEAN), (None, None), (1004, long), (1005, edited(r, long, 200))]
+    rows += [(1006, rows[1][1]), (1006, words(50, 70_000) + CLEAN), (1006, words(50, 70_000) + CLEAN), (1, rows[1][1])]
+    rows += [(1007, edited(r, rows[5][1], 1)), (1008, "before\n" + passage), (1009, passage + "\nafter"), (1010, passage)]
+    rows += [(1011, words(20, 80_000) + " " + ITEM + " " + words(20, 81_000) + CLEAN), (1012, ITEM[: len(ITEM) // 4] + CLEAN)]
+    r.shuffle(rows)
+    return rows
+
+
+def bag(df):
+    return collections.Counter((x["doc_id"], x["text"]) for x in df.collect())
+
+
+def test_stages_on_every_edge(spark, frame, tables):
+    import corpus_pipeline
+
+    rows = made()
+    docs = frame([row(k, t) for k, t in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    toxic = lambda t: "scum" in (t or "")
+    clean = stages["toxicity"](spark, docs, tables)
+    assert clean.columns == docs.columns and {x["score"] for x in clean.collect()} == {"a"}
+    # texts unlike all examples may go either way
+    known = lambda t: not t or t.endswith("sage") or not t.strip()
+    assert collections.Counter({x: n for x, n in bag(clean).items() if known(x[1])}) == collections.Counter(x for x in rows if known(x[1]))
+    assert not any(toxic(t) for _, t in bag(clean))
+
+    lines = stages["line_dedup"](spark, docs, tables)
+    assert lines.columns == docs.columns
+    got = {k: t for k, t in bag(lines)}
+    assert got[1008].count("\n") == 4 and got[1009] == "after" and 1010 not in got and None in got
+    changed = [x for x in lines.collect() if x["doc_id"] == 1009]
+    assert changed[0]["n_chars"] == 5 and changed[0]["lines_removed"] == "b"
+
+    near = bag(stages["ngram_jaccard"](spark, docs, tables))
+    assert near == plain_near(rows)
+
+    free = bag(stages["decontamination"](spark, docs, tables))
+    assert free == collections.Counter((k, t) for k, t in rows if k != 1011)
+
+    packed = stages["packing"](spark, docs, tables)
+    assert packed.filter("piece = 0").count() == len(rows)
+
+    none = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, tables).count() == 0, name
+
+
+def plain_near(rows):
+    """One row of each group of near duplicates, by comparing all pairs: the smallest id (null first) of each group stays."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group[root(a)] = root(b)
+    best = {}
+    for i, (k, _) in enumerate(rows):
+        at = -1 if k is None else k
+        best[root(i)] = min(best.get(root(i), (at, i)), (at, i))
+    kept = {i for _, i in best.values()}
+    return collections.Counter(x for i, x in enumerate(rows) if i in kept)
+
+
+def test_near_duplicates_of_repeated_ids(spark, frame, tables):
+    import corpus_pipeline
+
+    one, two = words(40), words(40, 5000)
+    rows = [(1, one), (5, one), (5, two), (7, two + " more"), (7, two + " more"), (9, one), (9, one)]
+    got = bag(corpus_pipeline.drop_near_duplicates(spark, frame([row(k, t) for k, t in rows], SCHEMA), tables))
+    assert got == collections.Counter([(1, one), (5, two)])
+
+
+def test_the_whole_pipeline_equals_its_parts(spark, frame, tables, tmp_path):
+    """``run`` against the stages' decisions, each made plainly."""
+    import shutil
+
+    import corpus_pipeline
+
+    rows = [(k, t) for k, t in made() if (t or "").count("\n") < 3 and k not in (1004, 1005)]  # the classifier may judge these either way
+    for name in ("labels", "benchmark"):
+        shutil.copytree(f"{tables[7:]}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    frame([row(k, t) for k, t in rows], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
+    left = [(k, t) for k, t in rows if "scum" not in (t or "")]
+    # lines of 50 words or more that stood in an earlier document go, and documents of which nothing is left
+    seen, deduped = set(), []
+    for k, t in sorted(set(left), key=lambda x: (x[0] is not None, x[0] or 0)):
+        again = t is not None and len(t.split()) >= 50 and t in seen
+        seen.add(t)
+        deduped += [] if again else [(k, t)] * left.count((k, t))
+    want = [(k, t) for (k, t), n in plain_near(deduped).items() for _ in range(n) if k != 1011]
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    firsts = collections.Counter(x["doc_id"] for x in got.filter("piece = 0").collect())
+    assert firsts == collections.Counter(k for k, _ in want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_stages_keep_columns(spark):
     import corpus_pipeline
