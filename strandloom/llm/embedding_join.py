@@ -5,7 +5,13 @@ Vectors are rotated to their principal dimensions (a rotation keeps distances),
 sorted by their cells of an eps grid on the leading dimensions, and the sequence is cut
 into blocks. A tree of intervals over the blocks is joined with itself from the
 root down: a pair of intervals whose boxes are further apart than eps is dropped with all
-it holds, the others are split. The block pairs that remain are compared in double precision.
+it holds, the others are split. A box bounds the leading coordinates and the norm of the
+other coordinates, as the difference of two such norms is a part of the distance, too.
+
+The block pairs that remain are dealt out as tiles, a square of the matrix of block pairs
+each: a tile reads each of its blocks once, however many pairs it has of it. Within a
+pair the recursion goes on to intervals of ``LEAF`` vectors, and those that are near enough
+are compared in double precision.
 
 Equal vectors are one node with a weight. A block pair gives the number of links
 of each vector and, of its links, only a label for each vector's component, so a
@@ -14,6 +20,7 @@ group of near copies does not become a list of all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,13 +37,18 @@ COSINE = 0.9
 GRID_DIMS = 8
 #: vectors of a block
 BLOCK = 1024
+#: vectors of the smallest intervals
+LEAF = 128
+#: blocks of a tile's side, at most
+SIDE = 32
 #: intervals are split into so many
 FAN = 4
 _SLACK = 1e-9
 
 
-def _unit(col: pa.Array, dim: int) -> np.ndarray:
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+def _unit(numbers: pa.Array, dim: int) -> np.ndarray:
+    """The unit vectors of rows of ``dim`` numbers, in double precision."""
+    x = numbers.to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -45,7 +57,7 @@ def _moments(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim + 1, dim + 1))
         for batch in batches:
-            u = _unit(batch.column(0), dim)
+            u = _unit(batch.column(0).flatten(), dim)
             u = np.hstack([u, np.ones((len(u), 1))])
             total += u.T @ u
         i, j = np.triu_indices(dim + 1)
@@ -65,13 +77,18 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(cov)[1][:, ::-1].copy()
 
 
+def _places(u: np.ndarray, axes: np.ndarray, lead: int) -> np.ndarray:
+    """The leading coordinates of unit vectors, and the norm of the others."""
+    at = u @ axes[:, :lead]
+    return np.hstack([at, np.sqrt(np.maximum(0, 1 - (at * at).sum(axis=1, keepdims=True)))])
+
+
 def _cells(axes: np.ndarray, eps: float, lead: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _unit(batch.column(1), len(axes)) @ axes[:, :lead]
-            cell = np.floor(at / eps).astype(np.int32)
-            n = len(at)
-            two = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * lead, pa.int32()), pa.array(x.ravel()))
+            at = _places(_unit(batch.column(1).flatten(), len(axes)), axes, lead)
+            cell = np.floor(at[:, :lead] / eps).astype(np.int32)
+            two = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, two(cell), two(at)], ["key", "embedding", "n", "cell", "at"])
 
     return run
@@ -90,14 +107,42 @@ def _labels(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _compare(dim: int, cosine: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                side = lambda c: (batch.column(c)[k].values.to_numpy(zero_copy_only=False), batch.column(c + 1)[k].values.to_numpy(zero_copy_only=False), np.frombuffer(batch.column(c + 2)[k].as_buffer(), "<f8").reshape(-1, dim))  # noqa: B023, E731
-                (ka, wa, ua), (kb, wb, ub) = side(2), side(5)
-                rows, cols = np.nonzero(ua @ ub.T >= cosine)
+def _boxes(at: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.arange(0, len(at), leaf)
+    return np.minimum.reduceat(at, first), np.maximum.reduceat(at, first)
+
+
+def _close(u: np.ndarray, box_u: tuple, v: np.ndarray, box_v: tuple, cosine: float, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all u[i], v[j] with ``cosine`` or more; intervals whose boxes are further apart are skipped."""
+    away = np.maximum(0, np.maximum(box_u[0][:, None] - box_v[1][None], box_v[0][None] - box_u[1][:, None]))
+    near = (away * away).sum(axis=2) <= 2 - 2 * cosine + _SLACK
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, js in enumerate(near):
+        if js.any():
+            on = np.flatnonzero(np.repeat(js, leaf)[: len(v)])
+            x, y = np.nonzero(u[i * leaf : (i + 1) * leaf] @ v[on].T >= cosine)
+            rows.append(x + i * leaf)
+            cols.append(on[y])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _compare(axes: np.ndarray, cosine: float, lead: int, leaf: int):
+    dim = len(axes)
+
+    def run(tile: pa.Table) -> pa.Table:
+        """The links within a tile: its rows are blocks, with the blocks that each of them is compared with."""
+        held = {}
+        for r in range(tile.num_rows):
+            values = lambda c: tile[c][r].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            u = _unit(tile["vectors"][r].values, dim)
+            held[tile["block"][r].as_py()] = values("keys"), values("weights"), u, _boxes(_places(u, axes, lead), leaf)
+        out = [(np.zeros(0, np.int64),) * 3]
+        for r in range(tile.num_rows):
+            a = tile["block"][r].as_py()
+            ka, wa, ua, box_a = held[a]
+            for b in tile["partners"][r].as_py():
+                kb, wb, ub, box_b = held[b]
+                rows, cols = _close(ua, box_a, ub, box_b, cosine, leaf)
                 if a == b:
                     once = rows < cols
                     rows, cols = rows[once], cols[once]
@@ -108,19 +153,32 @@ def _compare(dim: int, cosine: float):
                     links = np.concatenate([np.bincount(rows, wb[cols], len(ka)), np.bincount(cols, wa[rows], len(kb))])
                     label = _labels(rows, cols + len(ka), len(node))
                 on = np.flatnonzero(links)
-                if len(on):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[label[on]]), pa.array(links[on].astype(np.int64))], ["u", "v", "links"])
+                out.append((node[on], node[label[on]], links[on].astype(np.int64)))
+        u, v, links = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"u": u, "v": v, "links": links})
 
     return run
 
 
-def _block(dim: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        u = _unit(table["embedding"].combine_chunks(), dim)
-        lead = np.array(table["at"].to_pylist())
-        return pa.table({"block": [key[0].as_py()], "keys": [table["node"].to_pylist()], "weights": [table["n"].to_pylist()], "unit": [u.astype("<f8").tobytes()], "lo": [lead.min(axis=0).tolist()], "hi": [lead.max(axis=0).tolist()]})
+def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    at = np.stack(table["at"].combine_chunks().to_numpy(zero_copy_only=False))
+    flat = table["embedding"].combine_chunks().flatten()
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    return pa.table({"block": [key[0].as_py()], "keys": one(table["node"].combine_chunks()), "weights": one(table["n"].combine_chunks()), "vectors": one(flat), "lo": [at.min(axis=0).tolist()], "hi": [at.max(axis=0).tolist()]})
 
-    return run
+
+def _tiles(pairs: DataFrame, blocks: DataFrame, count: int, work: Work) -> DataFrame:
+    """(row, col, block, keys, weights, vectors, partners): the blocks of each tile.
+
+    A side is ``SIDE`` blocks at most, which bounds a tile's memory, and smaller where that gives too few tiles for the cores.
+    """
+    side = max(1, min(SIDE, math.ceil(count / (2 * work.spark.sparkContext.defaultParallelism**0.5))))
+    tile = [F.expr(f"a div {side}").alias("row"), F.expr(f"b div {side}").alias("col")]
+    none = F.array().cast("array<long>")
+    reads = pairs.select(*tile, F.col("a").alias("block"), F.array("b").alias("with")).unionByName(pairs.select(*tile, F.col("b").alias("block"), none.alias("with")))
+    # SIDE partners of a block at most
+    reads = reads.groupBy("row", "col", "block").agg(F.flatten(F.collect_list("with")).alias("partners"))
+    return reads.join(blocks.select("block", "keys", "weights", "vectors"), "block")
 
 
 def _tree_pairs(boxes: DataFrame, blocks: int, lead: int, eps: float, work: Work) -> DataFrame:
@@ -142,11 +200,11 @@ def _tree_pairs(boxes: DataFrame, blocks: int, lead: int, eps: float, work: Work
     return pairs
 
 
-def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link
-    with nothing; vectors of different lengths are not compared. Equal vectors link
+    with nothing; vectors of different lengths are not compared (each length that occurs is a join of its own). Equal vectors link
     with each other, repeated rows included. component_id is the smallest vec_id reachable,
     kept says that it is the row's own. Other columns are ignored; an empty table gives no rows.
     """
@@ -154,10 +212,12 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
     v = F.col("embedding")
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    # floats stay floats until they are compared
+    kind = "float" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"))
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     # adding zero makes -0.0 and 0.0 equal
-    rows = rows.select("vec_id", "good", F.when(F.col("good"), F.transform(v, lambda x: x + F.lit(0.0))).alias("embedding"))
+    rows = rows.select("vec_id", "good", F.when(F.col("good"), F.transform(v, lambda x: x + F.lit(0.0).cast(kind))).alias("embedding"))
     rows = work.cut(rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")}), "rows")
     distinct = rows.filter("good").groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.count("*").alias("n"))
     distinct = work.cut(distinct.select(F.struct("h1", "h2").alias("key"), "embedding", "n", F.size("embedding").alias("dim")), "distinct")
@@ -172,11 +232,11 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         base = F.lit(dim << 44).cast("long")  # nodes of other lengths have other numbers
         order = work.cut(order.select("key", "embedding", "n", "at", F.expr(f"node div {block}").alias("block"), (F.col("node") + base).alias("node")), "ordered")
         nodes.append(order.select("key.h1", "key.h2", "node", "n"))
-        blocks = work.cut(order.groupBy("block").applyInArrow(_block(dim), "block long, keys array<long>, weights array<long>, unit binary, lo array<double>, hi array<double>"), "blocks")
-        pairs = _tree_pairs(blocks.select("block", "lo", "hi"), blocks.count(), lead, eps, work)
-        side = lambda x: blocks.select(F.col("block").alias(x), F.col("keys").alias(f"k{x}"), F.col("weights").alias(f"w{x}"), F.col("unit").alias(f"u{x}"))  # noqa: B023, E731
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "wa", "ua", "kb", "wb", "ub")
-        found.append(work.cut(both.mapInArrow(_compare(dim, cosine), "u long, v long, links long"), "links"))
+        blocks = work.cut(order.groupBy("block").applyInArrow(_block, f"block long, keys array<long>, weights array<long>, vectors array<{kind}>, lo array<double>, hi array<double>"), "blocks")
+        count = blocks.count()
+        pairs = _tree_pairs(blocks.select("block", "lo", "hi"), count, lead + 1, eps, work)
+        tiles = _tiles(pairs, blocks, count, work).groupBy("row", "col")
+        found.append(work.cut(tiles.applyInArrow(_compare(axes, cosine, lead, leaf), "u long, v long, links long"), "links"))
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if found:
         links = reduce(DataFrame.unionByName, found)
