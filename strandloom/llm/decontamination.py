@@ -1,11 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of words (letters and digits, A-Z folded). Documents and
-benchmark items that share a run of ``min_match`` words are candidates. For each,
-running Karp-Rabin finds the longest common runs of unmarked words, marks them
-as tiles, longest first and without overlap, and goes on with shorter runs down to
-``min_match``. The part of the item's words that tiles cover decides, so
+Texts are sequences of words (letters and digits, A-Z folded). The runs of ``min_match``
+words of the benchmark items are seeds. Distinct documents' seeds are joined with
+the items' seeds, and pairs of a document and an item that share enough of them are
+candidates. For each, running Karp-Rabin finds the longest common runs of
+unmarked words, marks them as tiles, longest first and without overlap, and goes on with
+shorter runs down to ``min_match``. The part of the item's words that tiles cover decides, so
 passages whose sentences are reordered are found like those in order.
+
+A Bloom filter of the seeds, of a bounded size whatever the benchmark, keeps seeds of
+the corpus that no item has from being shuffled; the join alone decides.
 """
 
 from __future__ import annotations
@@ -14,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import free_name, small_batches
+from .common import Work, free_name
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-#: characters of benchmark text that go to each task at once; larger benchmarks are taken in blocks
-BLOCK_CHARS = 8_000_000
-_FILTER_BITS = 22
+#: bits of the filter for each seed, and at least and at most in all (powers of two)
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 64, 16, 27
+PROBES = 4
 _U = np.uint64
 
 
@@ -89,55 +94,75 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list
         n = max(min_match, n // 2)
 
 
-class Index:
-    """A block of benchmark items, of distinct words each: (item, how many items have its words, text)."""
-
-    def __init__(self, rows: list[tuple], min_match: int):
-        self.min_match = min_match
-        h, row, _, _ = tn.words(*tn.text_bytes(pa.array([t for _, _, t in rows], pa.string())), tn.NOT_ALNUM)
-        ends = np.searchsorted(row, np.arange(len(rows) + 1))
-        words = [h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        # shorter ones are not to be told from common words
-        self.items = [(item, n, w) for (item, n, _), w in zip(rows, words, strict=True) if len(w) >= min_match]
-        seeds = [tn.shingles(w, np.zeros(len(w), np.int64), min_match)[0] for _, _, w in self.items]
-        seed = np.concatenate([*seeds, np.zeros(0, _U)])
-        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.owner = seed[order], owner[order]
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[(self.seed >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]], int]]:
-        """(row, item, tiles, item words) for rows that share a seed with an item."""
-        h, row, _, _ = tn.words(data, offsets, tn.NOT_ALNUM)
-        s, at = tn.shingles(h, row, self.min_match)
-        hit = np.flatnonzero(self.maybe[(s >> _U(64 - _FILTER_BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.seed, s[hit], "left"), np.searchsorted(self.seed, s[hit], "right")
-        pairs = {(int(at[hit[i]]), int(o)) for i in np.flatnonzero(hi > lo) for o in self.owner[lo[i] : hi[i]]}
-        for r, o in sorted(pairs):
-            a, b = np.searchsorted(row, [r, r + 1])
-            yield r, o, tiles(h[a:b], self.items[o][2], self.min_match), len(self.items[o][2])
-
-
-_OUT = "item_id {item}, n_items long, n_tiles int, matched_words int, item_words int, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
-
-
-def _scan(index: Index, coverage: float, types: list[pa.DataType]):
+def _seeds(data: np.ndarray, offsets: np.ndarray, min_match: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, row) of each run of ``min_match`` words; fewer words make one seed of the whole row."""
+    h, row, _, _ = tn.words(data, offsets, tn.NOT_ALNUM)
+    s, at = tn.shingles(h, row, min_match)
+    ends = np.searchsorted(row, np.arange(len(offsets)))
+    n = np.diff(ends)
+    few = np.flatnonzero((n > 0) & (n < min_match))
+    whole = [tn.mix(np.append(h[ends[r] : ends[r + 1]], _U(n[r])) * tn.mix(np.arange(1, n[r] + 2, dtype=_U))).sum(dtype=_U) for r in few.tolist()]
+    return np.concatenate([s, np.array(whole, _U)]), np.concatenate([at, few])
+
+
+def _probes(seed: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(tn.mix(seed + _U(i)) >> _U(64 - bits)).astype(np.int64) for i in range(PROBES)]
+
+
+def _item_seeds(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_type, tile = types[0], pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])
         for batch in tn.each(batches):
             data, offsets = tn.text_bytes(batch.column(1))
-            rows, out = [], []
             for i, j in tn.slices(offsets):
-                for r, o, found, n in index.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    matched = sum(k for _, _, k in found)
-                    if matched >= coverage * n:
-                        rows.append(i + r)
-                        out.append((*index.items[o][:2], len(found), matched, n, matched / n, [dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in found]))
-            kinds = [item_type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(tile)]
-            names = ["item_id", "n_items", "n_tiles", "matched_words", "item_words", "coverage", "tiles"]
+                seed, row = _seeds(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_match)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), pa.array(seed.view(np.int64))], ["no", "seed"])
+
+    return run
+
+
+def _hits(held: Broadcast, bits: int, min_match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that hold a seed which passes the filter, with these seeds."""
+        maybe = held.value
+        for batch in tn.each(batches):
+            data, offsets = tn.text_bytes(batch.column(2))
+            for i, j in tn.slices(offsets):
+                seed, row = _seeds(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_match)
+                for k in range(PROBES):
+                    at = (tn.mix(seed + _U(k)) >> _U(64 - bits)).astype(np.int64)
+                    on = np.flatnonzero(maybe[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    seed, row = seed[on], row[on]
+                if len(seed):
+                    rows = np.unique(row)
+                    order = np.argsort(row, kind="stable")
+                    ends = np.append(np.searchsorted(row[order], rows), len(row))
+                    seeds = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(seed[order].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows + i)).columns, seeds], ["h", "g", "text", "seeds"])
+
+    return run
+
+
+_TILE = pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])
+
+
+def _tile(coverage: float, min_match: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the pairs (h, g, no, text, item), those whose tiles cover enough."""
+        for batch in tn.each(batches):
+            rows, out = [], []
+            for r in range(batch.num_rows):
+                doc, item = (tn.words(*tn.text_bytes(batch.column(c).slice(r, 1)), tn.NOT_ALNUM)[0] for c in (3, 4))
+                if len(item) >= min_match:
+                    found = tiles(doc, item, min_match)
+                else:  # too short to be told from common words, so it must be the whole document
+                    found = [(0, 0, len(item))] if np.array_equal(doc, item) else []
+                matched = sum(k for _, _, k in found)
+                if matched >= coverage * len(item):
+                    rows.append(r)
+                    out.append((len(found), matched, len(item), matched / len(item), [dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in found]))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(_TILE)]
             cols = [pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *cols], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns[:3], *cols], ["h", "g", "no", "n_tiles", "matched_words", "item_words", "coverage", "tiles"])
 
     return run
 
@@ -155,56 +180,71 @@ def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return items.join(least, "words").select("item", "item_id")
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    """The distinct items, (smallest id, number of items, words), in blocks of about ``block_chars`` characters."""
-    items = benchmark.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words")).filter("words <> ''")
-    items = items.groupBy("words").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    total = items.agg(F.sum(F.length("words"))).first()[0] or 0
-    n = -(-total // block_chars)
-    for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
-        yield [(r["id"], r["n"], r["words"]) for r in block.collect()]  # about block_chars characters
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _filter(seeds: DataFrame, most_bits: int) -> tuple[Broadcast, int]:
+    """The Bloom filter of the seeds, and its number of bits as a power of two."""
+    n = seeds.count()
+    bits = min(most_bits, max(LEAST_BITS, (n * BITS_PER_SEED).bit_length()))
+
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(_U), bits)))
+            byte, first = np.unique(at >> 3, return_index=True)
+            held = np.bitwise_or.reduceat(1 << (at & 7), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(held.astype(np.int32))], ["byte", "held"])
+
+    held = seeds.select("seed").mapInArrow(bytes_of, "byte long, held int").groupBy("byte").agg(F.bit_or("held").alias("held")).toArrow()  # 2**bits / 8 rows at most
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[held["byte"].to_numpy()] = held["held"].to_numpy().astype(np.uint8)
+    return seeds.sparkSession.sparkContext.broadcast(out), bits
+
+
+def _text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.hash(text, F.length(text)).alias("g")]
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, work: Work, text_col: str, item_col: str, item_text_col: str, min_match: int, coverage: float, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, items): (h, g, no, ...) for each distinct text of ``docs`` and item that match, and (no, item_id, n_items, item) of the items."""
+    items = benchmark.select(F.col(item_col).alias("id"), _words(F.col(item_text_col)).alias("item")).filter("item <> ''")
+    items = items.groupBy("item").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"))
+    items = work.cut(items.withColumn("no", F.monotonically_increasing_id()), "items")
+    seeds = items.select("no", "item").mapInArrow(_item_seeds(min_match), "no long, seed long")
+    seeds = work.cut(seeds.groupBy("seed", "no").agg(F.count("*").alias("times")), "seeds")
+    held, bits = _filter(seeds, most_bits)
+
+    text = F.col(text_col)
+    hits = docs.select(*_text_keys(text), text.alias("text")).filter("text <> ''").mapInArrow(_hits(held, bits, min_match), "h long, g int, text string, seeds array<long>")
+    hits = work.cut(hits, "hits")
+    # equal texts are one: only their keys are told apart, and one text of each is read
+    have = hits.select("h", "g", F.explode("seeds").alias("seed")).distinct()
+    shared = have.join(seeds, "seed").groupBy("h", "g", "no").agg(F.sum("times").alias("shared"))
+    # tiles of min_match words or more that cover m words of an item hold m / min_match of its seeds or more
+    size = items.select(F.col("no"), "item", F.size(F.split("item", " ")).alias("size"))
+    pairs = shared.join(size, "no").filter((F.col("shared") * min_match >= F.col("size") * coverage) | (F.col("size") < min_match))
+    texts = work.cut(hits.groupBy("h", "g").agg(F.first("text").alias("text")), "texts")
+    pairs = pairs.join(texts, ["h", "g"]).select("h", "g", "no", "text", "item")
+    kinds = "h long, g int, no long, n_tiles int, matched_words int, item_words int, coverage double, tiles array<struct<doc_word:int,item_word:int,words:int>>"
+    return work.cut(pairs.mapInArrow(_tile(coverage, min_match), kinds), "found"), items
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, item_id, n_items, n_tiles, matched_words, item_words, coverage, tiles): the documents in which tiles
     cover ``coverage`` of an item's words or more.
 
-    The ``n_items`` items of equal words are one, the smallest (``item_classes`` lists them); items of
-    fewer than ``min_match`` words and null texts match nothing; null and empty documents match
-    nothing; repeated documents are reported each. Empty tables give no rows.
+    The ``n_items`` items of equal words are one, the smallest (``item_classes`` lists them). An item of
+    fewer than ``min_match`` words matches the documents that have these words and no others. Null
+    and empty texts and items match nothing; repeated documents are reported each. Empty tables give no rows.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    item = benchmark.schema[item_col].dataType
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + _OUT.format(item=item.simpleString())
-    out = None
-    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        found = rows.mapInArrow(_scan(Index(block, min_match), coverage, [to_arrow_type(item)]), schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
-
-
-def _clean(index: Index, coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tn.each(batches):
-            data, offsets = tn.text_bytes(batch.column(batch.num_columns - 1))
-            keep = np.ones(batch.num_rows, bool)
-            for i, j in tn.slices(offsets):
-                for r, _, found, n in index.scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    if sum(k for _, _, k in found) >= coverage * n:
-                        keep[i + r] = False
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
-
-    return run
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that ``find_contamination`` does not report, with all their columns."""
-    small_batches(docs.sparkSession)
-    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
-        schema = docs.schema
-        docs = docs.withColumn(free_name(docs, "text_"), F.col(text_col)).mapInArrow(_clean(Index(block, min_match), coverage), schema)
-    return docs
+    work = Work(docs.sparkSession, "decontamination")
+    found, items = _found(docs, benchmark, work, text_col, item_col, item_text_col, min_match, coverage, most_bits)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_text_keys(F.col(text_col)))
+    return rows.join(found, ["h", "g"]).join(items.drop("item"), "no").select("doc_id", "item_id", "n_items", "n_tiles", "matched_words", "item_words", "coverage", "tiles")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of ``docs`` that ``find_contamination`` does not report, with all their columns; null and empty texts stay."""
+    work = Work(docs.sparkSession, "decontamination")
+    found, _ = _found(docs, benchmark, work, text_col, item_col, item_text_col, min_match, coverage, most_bits)
+    h, g = free_name(docs, "h"), free_name(docs, "g")
+    gone = found.select(F.col("h").alias(h), F.col("g").alias(g)).distinct()
+    rows = docs.withColumns(dict(zip((h, g), _text_keys(F.col(text_col)), strict=True)))
+    return rows.join(gone, [h, g], "left_anti").select(*[f"`{c}`" for c in docs.columns])
