@@ -12,11 +12,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -155,9 +156,44 @@ def global_row_numbers(df: DataFrame, order: list, work: Work, tag: str, out_col
     return out.withColumn(out_col, F.col("_before") + F.col(rid) - F.col("_first")).drop(rid, part, "_first", "_before", *[f"_{i}" for i in range(len(keys))])
 
 
-def _signature(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
+def bit_words(words: DataFrame, bits: int) -> Column:
+    """A column with the array of all 64-bit words of a filter, from the rows (w, b) of those that are not zero; the plan holds it once."""
+    held = words.select("w", "b").toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits >> 6, np.int64)
+    out[held["w"].to_numpy()] = held["b"].to_numpy()
+    table = pa.table({"words": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.array(out))})
+    return words.sparkSession.createDataFrame(table).scalar()
+
+
+#: bits of a key filter (as a power of two), whatever the number of keys, and how many of them a key sets
+FILTER_BITS, PROBES = 24, 2
+
+
+def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A condition that holds for all of the long ``keys`` and, if they are not too many, for few others.
+
+    It keeps rows that cannot join from being shuffled. The filter has 2 MiB whatever the keys; with
+    very many keys everything passes, and the join that follows is as it would be without it.
+    """
+    bits = 1 << FILTER_BITS
+    places = lambda k: [F.pmod(F.xxhash64(k, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
+    at = keys.select(F.explode(F.array(*places(F.col(key)))).alias("p"))
+    held = bit_words(at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")), bits)
+
+    def maybe(k: Column) -> Column:
+        out = F.lit(True)
+        for p in places(k):
+            out = out & (F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+        return out
+
+    return maybe
+
+
+def _watched(df: DataFrame, work: Work, tag: str) -> tuple[DataFrame, tuple]:
+    """A work table of edges, and its number of rows and sum of hashes, which are taken while it is written."""
+    seen = Observation()
+    df = work.cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), tag)
+    return df, (seen.get["n"], seen.get["s"])
 
 
 def connected_components(edges: DataFrame, work: Work, max_rounds: int = 64) -> DataFrame:
@@ -169,22 +205,23 @@ def connected_components(edges: DataFrame, work: Work, max_rounds: int = 64) ->
     and no neighbourhood is gathered; the edges never leave the executors.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    e = work.cut(e, "edges")
-    last = _signature(e)
+    e, last = _watched(e, work, "edges")
     for _ in range(max_rounds):
         if last[0] == 0:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # minima as plain tables, so that the joins split a hub
+        low = work.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "low")
         # large star: each larger neighbour goes to the smallest of the neighbourhood
         large = both.filter("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = work.cut(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        work.drop(low)
+        low = work.cut(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "low")
         # small star: the smaller neighbours and the node itself go to the smallest
         small = large.join(low, F.col("u") == F.col("k")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = work.cut(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "small")
-        work.drop(e, large)
-        e, now = new, _signature(new)
+        new, now = _watched(small.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), work, "small")
+        work.drop(e, large, low)
+        e = new
         if now == last:
             break
         last = now

@@ -7,10 +7,10 @@ more differ in at most (1-s)/(1+s) * (|A|+|B|) shingles. Sketches are cut into
 blocks for each band of set sizes; by the pigeonhole principle two similar sets
 agree on a block among the d+1 fullest blocks of each (d: the largest possible
 distance). Sets that agree on such a block meet in a bucket; pairs are screened by the
-Hamming distance of a short sketch and verified on the exact sets.
+Hamming distance of the sketches and verified on the exact sets.
 
 In a bucket each set is first compared with the smallest and the largest set id only (two stars), and
-then, where components are still apart, with sets drawn by hash. Other pairs of a bucket that are then still in different components are compared as
+then, where components are still apart, with a few sets drawn by hash. Other pairs of a bucket that are then still in different components are compared as
 well, so no link that joins two components is missed, and copies are not
 expanded into all pairs. Equal sets are one node throughout.
 """
@@ -22,16 +22,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import Work, connected_components
+from .common import Work, connected_components, key_filter
 
 K = 5
 #: similarity in hundredths
 SIMILARITY = 80
-SKETCH_WORDS = 32
+#: 64-bit words of a sketch
+SKETCH_WORDS = 16
 #: bits of a sketch block (as a power of two); a block is kept as the XOR of a random word for each set bit
 BLOCK_BITS = 20
 _I, _U = np.int64, np.uint64
@@ -74,7 +75,10 @@ def _buckets(s: np.ndarray, similarity: int) -> list[np.ndarray]:
 
 
 def _signatures(k: int, similarity: int):
+    """Set id, size, sketch and buckets of each document; a task gives sketch and buckets of a set once, and empty lists where it occurs again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # the sets of this task
         for batch in tn.each(batches):
             data, offsets = tn.text_bytes(batch.column(2))
             for i, j in tn.slices(offsets):
@@ -83,16 +87,19 @@ def _signatures(k: int, similarity: int):
                 sid = tn.mix(np.array([tn.mix(s).sum(dtype=_U) for s in sets], _U) + n.astype(_U)).view(_I)
                 bits = np.zeros((len(sets), SKETCH_WORDS * 64), np.uint8)
                 keys = []
-                for r, s in enumerate(sets):
-                    if len(s):
+                again = np.zeros(len(sets), bool)
+                for r, (s, own) in enumerate(zip(sets, sid.tolist(), strict=True)):
+                    again[r] = own in seen
+                    if len(s) and not again[r]:
+                        seen.add(own)
                         bits[r] = np.bincount((s >> _U(20)).astype(_I) & (SKETCH_WORDS * 64 - 1), minlength=SKETCH_WORDS * 64) & 1
                         keys.append(np.concatenate(_buckets(s, similarity)).view(_I))
                     else:
                         keys.append(np.zeros(0, _I))
-                sketch = pa.array(np.packbits(bits, axis=1).view(_I).ravel())
+                sketch = pa.array(np.packbits(bits[~again], axis=1).view(_I).ravel())
                 lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(sid), lists(np.arange(j - i + 1) * SKETCH_WORDS, sketch), lists(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.array(np.concatenate(keys)))],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n), pa.array(sid), lists(np.concatenate([[0], np.cumsum(~again)]) * SKETCH_WORDS, sketch), lists(np.concatenate([[0], np.cumsum([len(x) for x in keys])]), pa.array(np.concatenate(keys)))],
                     ["doc_id", "tkey", "n", "sid", "sketch", "buckets"],
                 )
 
@@ -113,19 +120,15 @@ def _verify(k: int, similarity: int):
 
 
 #: further stars of a bucket, around sets drawn by hash
-TURNS = 2
-#: words of the folded sketch that rows of unfinished buckets carry
-FOLDED = 8
-
+TURNS = 3
+_WORDS = [f"f{i}" for i in range(SKETCH_WORDS)]
 
-def _folded(sketch: str) -> list[F.Column]:
-    """The sketch folded by XOR: a sketch of the same set with fewer bits."""
-    xor = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.get(sketch, F.lit(j)) for j in range(i, SKETCH_WORDS, FOLDED)])
-    return [xor(i) for i in range(FOLDED)]
 
-
-def _distance() -> F.Column:
-    return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+def _like(a: Callable[[str], F.Column], b: Callable[[str], F.Column], similarity: int) -> F.Column:
+    """Whether sizes and sketches are near enough for two sets to be similar."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(a(f).bitwiseXOR(b(f))) for f in _WORDS])
+    sizes = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity
+    return sizes & (apart * (100 + similarity) <= (a("n") + b("n")) * (100 - similarity))
 
 
 def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col: str = "text", k: int = K, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -136,63 +139,63 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
     kind = base.schema["doc_id"].dataType.simpleString()
     signed = work.cut(base.mapInArrow(_signatures(k, similarity), f"doc_id {kind}, tkey long, n int, sid long, sketch array<long>, buckets array<long>"), "signed")
     slim = work.cut(signed.select("doc_id", "tkey", "n", "sid"), "slim")
-    sets = work.cut(signed.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("d"), F.first("sketch").alias("sketch")).select("sid", "n", "d.doc_id", "d.tkey", "sketch"), "sets")
-
-    bucket = Window.partitionBy("bucket")
-    rows = signed.filter("n > 0").select(F.explode("buckets").alias("bucket"), "sid", "n")
-    met = work.cut(rows.withColumn("lo", F.min("sid").over(bucket)).withColumn("hi", F.max("sid").over(bucket)).filter("lo < hi"), "met")
-    work.drop(signed)
-    ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sid").alias("b")), F.struct(F.col("sid").alias("a"), F.col("hi").alias("b"))))
-    stars = work.cut(met.select(ends.alias("p")).select("p.*").filter("a < b").distinct(), "stars")
+    sets = signed.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("d"), F.max("sketch").alias("sketch"))
+    sets = work.cut(sets.select("sid", "n", "d.doc_id", "d.tkey", *[F.get("sketch", F.lit(i)).alias(f) for i, f in enumerate(_WORDS)]), "sets")
+
+    # buckets with two sets or more, and their ends; then their rows, which a plain table lets the join split
+    rows = signed.select(F.explode("buckets").alias("bucket"), "sid")
+    ends = work.cut(rows.groupBy("bucket").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi"), "ends")
+    met = work.cut(rows.filter(key_filter(ends, "bucket")(F.col("bucket"))).join(ends, "bucket"), "met")
+    work.drop(signed, ends)
+    pair = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("sid").alias("b")), F.struct(F.col("sid").alias("a"), F.col("hi").alias("b"))))
+    stars = work.cut(met.select(pair.alias("p")).select("p.*").filter("a < b").distinct(), "stars")
+
+    def paired(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """``pairs`` with the columns of both sets from ``of``."""
+        side = lambda x: of.withColumnsRenamed({c: x if c == "sid" else f"{c}_{x}" for c in of.columns})
+        return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
-        near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
-        near = near.filter(_distance() * (100 + similarity) <= (F.col("n_a") + F.col("n_b")) * (100 - similarity))
-        near = work.cut(near.select("a", "b"), f"{tag}-near")
-        need = near.select(F.col("a").alias("sid")).union(near.select(F.col("b").alias("sid"))).distinct()
-        need = need.join(sets.select("sid", F.col("doc_id").alias("d"), F.col("tkey").alias("t")), "sid")
-        texts = base.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
+        """(u, v): the similar ones of ``pairs``, first by sketches and then by the sets."""
+        near = paired(pairs, sets).filter(_like(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"), similarity))
+        near = work.cut(near.select("a", "b", "doc_id_a", "doc_id_b", "tkey_a", "tkey_b"), f"{tag}-near")
+        need = F.explode(F.array(*[F.struct(F.col(x).alias("sid"), F.col(f"doc_id_{x}").alias("d"), F.col(f"tkey_{x}").alias("t")) for x in "ab"]))
+        need = work.cut(near.select(need.alias("x")).select("x.*").distinct(), f"{tag}-need")
+        texts = base.filter(key_filter(need, "t")(F.col("tkey"))).join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("t")))
         texts = work.cut(texts.select("sid", "text").dropDuplicates(["sid"]), f"{tag}-texts")
-        side = lambda x: texts.select(F.col("sid").alias(x), F.col("text").alias(f"text_{x}"))
-        both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        both = paired(near.select("a", "b"), texts).select("a", "b", "text_a", "text_b")
         out = work.cut(both.mapInArrow(_verify(k, similarity), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")), f"{tag}-links")
-        work.drop(near, texts)
+        work.drop(near, need, texts)
         return out
 
     links = verified(stars, "star")
-    # rows of buckets whose sets the stars left in different components; the two ends of a bucket are done
-    folded = sets.select(F.col("sid").alias("s"), *[x.alias(f"f{i}") for i, x in enumerate(_folded("sketch"))])
-    rows = met.filter("sid != lo and sid != hi").select("bucket", "sid", "n").distinct()
 
     def unfinished(rows: DataFrame, tag: str) -> DataFrame:
+        """The rows (bucket, sid, ...) of buckets whose sets are in different components by now, with the component."""
         comp = connected_components(links, work)
         left = rows.join(comp, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "sid")).drop("node", "component")
-        left = left.withColumn("lo", F.min("comp").over(bucket)).withColumn("hi", F.max("comp").over(bucket)).filter("lo < hi").drop("lo", "hi")
-        if "f0" not in left.columns:
-            left = left.join(folded, F.col("sid") == F.col("s")).drop("s")
-        return work.cut(left, tag)
+        left = work.cut(left, f"{tag}-all")
+        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+        open_ = work.cut(open_, f"{tag}-open")
+        return work.cut(left.join(open_, "bucket"), tag)
 
     def near(a: Callable[[str], F.Column], b: Callable[[str], F.Column]) -> F.Column:
-        """Different components, like sizes, and folded sketches that are near enough."""
-        apart = reduce(lambda x, y: x + y, [F.bit_count(a(f"f{i}").bitwiseXOR(b(f"f{i}"))) for i in range(FOLDED)])
-        sizes = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity
-        return (a("comp") != b("comp")) & sizes & (apart * (100 + similarity) <= (a("n") + b("n")) * (100 - similarity))
-
-    ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    left = unfinished(rows, "left")
-    work.drop(met)
-    for turn in range(TURNS):
-        # each set with one set of its bucket, another one in each bucket: as many pairs as rows
-        name = ["sid", "n", "comp", *[f"f{i}" for i in range(FOLDED)]]
-        one = F.min(F.struct(F.xxhash64("sid", "bucket", F.lit(turn)), *name)).over(bucket)
-        pairs = left.withColumn("one", one).filter(near(lambda c: F.col(c), lambda c: F.col("one")[c]))
-        pairs = pairs.select(F.col("sid").alias("x"), F.col("one")["sid"].alias("y")).select(*ordered).distinct()
-        links = work.cut(links.unionByName(verified(work.cut(pairs, f"turn{turn}"), f"turn{turn}")), f"links{turn}")
-        done, left = left, unfinished(left.drop("comp"), f"left{turn}")
-        work.drop(done)
-    # all pairs that are still open; the distance of the folded sketches is part of the join, so that pairs too far apart are not made
+        return (a("comp") != b("comp")) & _like(a, b, similarity)
+
+    # the two ends of a bucket are done
+    left = unfinished(met.filter("sid != lo and sid != hi").select("bucket", "sid").distinct(), "left")
+    left, done = work.cut(left.join(sets.select("sid", "n", *_WORDS), "sid"), "left-sets"), left
+    work.drop(met, done)
+    # each set with a few sets of its bucket, other ones in each bucket: no more than so many pairs a row
+    name = ["sid", "n", "comp", *_WORDS]
+    drawn = [F.min(F.struct(F.xxhash64("sid", "bucket", F.lit(turn)), *name)) for turn in range(TURNS)]
+    drawn = work.cut(left.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("drawn")), "drawn")
+    pairs = left.join(drawn.select("bucket", F.explode("drawn").alias("one")), "bucket").filter(near(lambda c: F.col(c), lambda c: F.col("one")[c]))
+    pairs = pairs.select(F.least("sid", "one.sid").alias("a"), F.greatest("sid", "one.sid").alias("b")).distinct()
+    links = work.cut(links.unionByName(verified(work.cut(pairs, "drawn-pairs"), "drawn")), "more-links")
+    done, left = left, unfinished(left.drop("comp"), "open")
+    work.drop(done, drawn)
+    # all pairs that are still open; the distance of the sketches is part of the join, so that pairs too far apart are not made
     side = lambda x: left.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in left.columns if c != "bucket"])
     cross = side("x").join(side("y"), "bucket").filter("sid_x < sid_y").filter(near(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y")))
     cross = cross.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
