@@ -5,7 +5,7 @@ a naive Bayes log-count ratio r: how much oftener toxic texts hold it than
 others. The n-grams whose ratio stands out most from chance are the features, scaled by
 r, and a logistic regression on them gives the score.
 
-Learning uses at most ``max_rows`` labelled rows (those of the smallest id
+Learning uses at most ``max_rows`` labelled rows (those of the smallest
 hashes), so what the driver holds is bounded; scoring covers whole texts.
 """
 
@@ -27,6 +27,8 @@ SIZES = (3, 4, 5, 6, 7)
 BITS = 20
 FEATURES = 4_000
 MAX_ROWS = 20_000
+#: tasks that count n-grams: each may give all buckets, and has its part of the max_rows examples
+COUNT_TASKS = 12
 #: bytes of text that are taken at a time
 SLICE = 400_000
 _K = np.uint32(0x9E3779B1)
@@ -141,7 +143,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     """Learn from the labelled rows for which ``use`` holds (a condition on the id).
 
     A null id or label is no label; an id labelled twice is toxic if one label
-    is. Rows that repeat an id are examples each. Without examples of both labels
+    is. Rows that repeat an id with other texts are examples each, rows that repeat
+    id and text are one. At most ``max_rows`` labels are used, and of their rows at most ``max_rows``. Without examples of both labels
     the model gives every text the score 0 (or 1, if all are toxic).
     """
     work = Work(docs.sparkSession, "toxicity")
@@ -151,11 +154,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     known = work.cut(known.coalesce(1), "labels")  # max_rows rows at most
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("id"))
-    rows = work.cut(rows.select("text", "toxic"), "examples")
+    rows = work.cut(rows.select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic").dropDuplicates(["key"]), "labelled")
+    some = work.cut(rows.select("key").orderBy("key").limit(max_rows).coalesce(1), "some")  # max_rows rows at most
+    rows = work.cut(rows.join(F.broadcast(some), "key").select("text", "toxic").repartition(COUNT_TASKS), "examples")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return ToxicityModel(np.full(1 << BITS, -1, np.int32), np.zeros(1), 40.0 if n.get(1) else -40.0)
-    counts = rows.coalesce(8).mapInArrow(_counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.mapInArrow(_counts, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 1) / (n[1] + 2)) - F.log((F.col("neg") + 1) / (n[0] + 2))
     counts = counts.withColumn("ratio", ratio)
     clear = F.abs("ratio") / F.sqrt(1 / (F.col("pos") + 1) + 1 / (F.col("neg") + 1))
