@@ -81,8 +81,10 @@ def _windows(rows: DataFrame, min_words: int) -> DataFrame:
 
 def later_copies(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tkey, s, m): runs of m lines from line s that are later copies of equal runs."""
-    level = _ranked(line_table(docs, id_col, text_col), ["h", "g"], work, "level0")
+    lines = work.cut(line_table(docs, id_col, text_col), "lines")  # read twice
+    level = _ranked(lines, ["h", "g"], work, "level0")
     level = work.cut(_islands(level, min_words), "level0")
+    work.drop(lines)
     runs = _windows(level, min_words)
     # floor(log2 m), from the bits of m
     runs = work.cut(runs.withColumn("k", F.length(F.bin("m")) - 1), "runs")
