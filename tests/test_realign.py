@@ -7,16 +7,20 @@ import pytest
 
 from strandloom import cli
 from strandloom import schema as S
-from strandloom.operators.align import Cost, Region
+from strandloom.operators.align import SEMI, Cost, Region, cigar, cost_grid, rebase
 from strandloom.plans import realign as R
 from strandloom.sources import alignments as A
 from strandloom.sources import costs as K
 from strandloom.sources import sequences as Q
 from strandloom.sources import tables as B
 
-REF = ">chr42 a name\nCCATGTCGGCGATAGATA\nGATAGTCAGCACTG\n>other\nACGTACGT\n"
-PDC = "chr42\n-3 -1 -3 4 65 67 71 84 1 -4 -4 -4 -4 1 -4 -4 -4 -4 1 -4 -4 -4 -4 1\n1\n10 22 -1 -1 -1 -1 -1 4 65 67 71 84 1 -4 -4 -4 -4 1 -4 -4 -4 -4 1 -4 -4 -4 -4 1\n|\n"
-QUALM = "r chr42\nq 39 43\n~ 84 65 + 3\nQ\nR\n"
+from .test_align import every_path
+
+# a made-up place: 5 bases, a unit of 4 three times, 12 bases
+LOCUS = "TTGAC" + 3 * "CATG" + "AAGTCCGATACT"
+REF = f">chrA made up\n{LOCUS[:14]}\n{LOCUS[14:]}\n>chrB\nGGCATTGA\n"
+PDC = K.generate_costs([("chrA", len(LOCUS))], [("chrA", 5, 17)], default=(2, -3, -4, -2), inside=(2, -3, -2, -1))
+QUALM = "r chrA\nq 40 45\n~ 67 71 + 2\nQ\nR\n"
 
 
 def sam(*rows):
@@ -39,52 +43,67 @@ def records(spark, rows):
 
 
 def references(spark):
-    return spark.createDataFrame([(0, "chr42 a name", "chr42", "CCATGTCGGCGATAGATAGATAGTCAGCACTG", None), (1, "other", "other", "ACGTACGT", None)], S.SEQUENCE)
+    return spark.createDataFrame([(0, "chrA made up", "chrA", LOCUS, None), (1, "chrB", "chrB", "GGCATTGA", None)], S.SEQUENCE)
+
 
+def enumerated(read, qual, lo, hi, ranks):
+    """(score, 1-based place, CIGAR) of all alignments with one of the ``ranks`` best scores, by trying all paths."""
+    window = LOCUS[lo:hi]
+    grid = K.mangle_grid(cost_grid(rebase(K.parse_costs(PDC)["chrA"], lo, hi), len(window), len(read)), K.parse_mangles(QUALM)["chrA"], lo, qual)
+    paths = every_path(window, read, grid, SEMI)
+    best = sorted({s for s, _ in paths}, reverse=True)[:ranks]
+    return sorted((s, lo + p[0][0] + 1, cigar(*zip(*p, strict=True), len(read))) for s, p in paths if s in best)
 
-def test_example(spark, files, tmp_path):
+
+@pytest.mark.parametrize("read,qual", [("CATGCA", "5555++"), ("CAGGCA", "++5555"), ("ATGA", "+5+5")])
+def test_example(spark, files, tmp_path, read, qual):
+    """A read near a problem region, from files to files, against all alignments with its window."""
     out = f"file://{tmp_path}/out"
-    a = sam(("look0", 0, "chr42", 14, 0, "10M", "*", 0, 0, "GATAGA", "5555++"))
-    args = [files("a.sam", a), "--out", out, "--ref", files("r.fa", REF), "--prob", files("p.bed", "#x\nchr42\t10\t22\n"), "--cost", files("c.pdc", PDC), "--qualm", files("q.qualm", QUALM), "--rank", "1", "--count", "5", "--order"]
+    a = sam(("look", 0, "chrA", 9, 0, f"{len(read)}M", "*", 0, 0, read, qual))
+    args = [files("a.sam", a), "--out", out, "--ref", files("r.fa", REF), "--prob", files("p.bed", "#x\nchrA\t8\t12\n"), "--cost", files("c.pdc", PDC), "--qualm", files("q.qualm", QUALM), "--overrun", "1", "--rank", "1", "--count", "10000", "--order"]
     cli.main(args)
-    assert [r["value"] for r in spark.read.text(out).collect()] == [
-        "@HD\tVN:1.0", R.PROGRAM,
-        "look0\t256\tchr42\t19\t0\t6M\t*\t0\t0\tGATAGA\t5555++\tAS:i:4",
-        "look0\t0\tchr42\t15\t0\t6M\t*\t0\t0\tGATAGA\t5555++\tAS:i:6",
-        "look0\t256\tchr42\t11\t0\t6M\t*\t0\t0\tGATAGA\t5555++\tAS:i:6",
-    ]
+    head, program, *rows = [r["value"] for r in spark.read.text(out).collect()]
+    assert (head, program) == ("@HD\tVN:1.0", R.PROGRAM)
+    rows = [r.split("\t") for r in rows]
+    want = enumerated(read, qual, 7, 8 + len(read) + 1, 2)
+    assert len(want) > 1 and sorted((int(r[11].split(":")[2]), int(r[3]), r[5]) for r in rows) == want
+    assert {(r[0], r[2], r[9], r[10]) for r in rows} == {("look", "chrA", read, qual)}
+    main = [r for r in rows if r[1] == "0"]
+    assert len(main) == 1 and int(main[0][11].split(":")[2]) == want[-1][0] and all(r[1] == "256" for r in rows if r is not main[0])
 
 
 def test_records_that_are_passed_on_and_mates(spark):
+    read = LOCUS[9:15]
     rows = [
-        ("p", 1 | 64, "chr42", 13, "6M", "GATAGA"), ("p", 1 | 128 | 16, "chr42", 24, "2S4M", "GTCAGC"),
-        ("far", 0, "chr42", 0, "3M", "CCA"), ("unmapped", 4, "chr42", 0, "3M", "CCA"), ("what", 0, "chr9", 0, "3M", "CCA"),
-        ("second", 256, "chr42", 13, "6M", "GATAGA"), ("bad", 0, "chr42", 13, "3M2S1M", "GATAGA"), ("costless", 0, "other", 0, "4M", "ACGT"),
-        ("lone", 1 | 64, "chr42", 13, "6M", "GATAGA"), ("empty", 0, "chr42", 13, "6M", ""), ("q", 1 | 64, "chr42", 13, "6M", "GATAGA"), ("q", 1 | 128 | 4, "", -1, "", "AC"),
+        ("p", 1 | 64, "chrA", 8, "6M", read), ("p", 1 | 128 | 16, "chrA", 20, "2S4M", "GTCCGA"),
+        ("far", 0, "chrA", 0, "3M", "TTG"), ("unmapped", 4, "chrA", 0, "3M", "TTG"), ("what", 0, "chr9", 0, "3M", "TTG"),
+        ("second", 256, "chrA", 8, "6M", read), ("bad", 0, "chrA", 8, "3M2S1M", read), ("costless", 0, "chrB", 0, "4M", "GGCA"),
+        ("lone", 1 | 64, "chrA", 8, "6M", read), ("empty", 0, "chrA", 8, "6M", ""), ("q", 1 | 64, "chrA", 8, "6M", read), ("q", 1 | 128 | 4, "", -1, "", "AC"),
     ]
-    problems = spark.createDataFrame([("chr42", 12, 16), ("other", 0, 3)], "chrom string, start long, end long")
+    problems = spark.createDataFrame([("chrA", 8, 12), ("chrB", 0, 3)], "chrom string, start long, end long")
     got = R.realign_records(records(spark, rows), references(spark), K.parse_costs(PDC), problems, None, R.Config(overrun=1, tags=["XX"])).collect()
     by = {(r["qname"], bool(r["flag"] & 128)): r for r in got}
     assert len(got) == 11 and ("second", False) not in by
     notes = {r["qname"]: r["note"] for r in got if r["qname"] not in ("p", "q")}
     assert notes == {"far": "no problem region", "unmapped": "not aligned", "what": "unknown reference", "bad": "malformed CIGAR", "costless": "no costs", "lone": "", "empty": "no sequence"}
     p, m = by["p", False], by["p", True]
-    assert (p["note"], p["pos"], p["cigar"], p["extra"]) == ("", 14, "6M", "AS:i:6\tXX:Z:y")
+    assert enumerated(read, "5" * 6, 7, 15, 1) == [(12, 10, "6M")]
+    assert (p["note"], p["pos"], p["cigar"], p["extra"]) == ("", 9, "6M", "AS:i:12\tXX:Z:y")
     assert m["note"] == "no problem region" and m["extra"] == "XX:Z:y" and m["cigar"] == "2S4M"
     # the mate is passed on: its own range is inclusive, and what its mate sees of it exclusive
-    assert (p["flag"], p["rnext"], p["pnext"], p["tlen"]) == (1 | 2 | 32 | 64, "chr42", 24, 28 - 14)
-    assert (m["flag"], m["rnext"], m["pnext"], m["tlen"]) == (1 | 2 | 16 | 128, "chr42", 14, -(27 - 14))
+    assert (p["flag"], p["rnext"], p["pnext"], p["tlen"]) == (1 | 2 | 32 | 64, "chrA", 20, 24 - 9)
+    assert (m["flag"], m["rnext"], m["pnext"], m["tlen"]) == (1 | 2 | 16 | 128, "chrA", 9, -(23 - 9))
     assert by["lone", False]["flag"] == 64 and by["unmapped", False]["flag"] == 4
     q, n = by["q", False], by["q", True]
     assert q["flag"] == 1 | 8 | 64 and q["rnext"] == "" and q["tlen"] == 0
-    assert n["flag"] == 1 | 4 | 128 and n["rnext"] == "chr42" and n["tlen"] == 0
+    assert n["flag"] == 1 | 4 | 128 and n["rnext"] == "chrA" and n["tlen"] == 0
     assert by["bad", False]["flag"] & 4
 
 
 def test_no_alignment_and_soft_clips(spark):
     cost = Cost(-9, -9, -9, (65, 67, 71, 84), tuple(tuple(-5 for _ in range(4)) for _ in range(4)))
-    everything = {"chr42": [Region(None, None, None, None, cost)]}
-    rows = records(spark, [("s", 0, "chr42", 13, "1S4M1S", "TATAGT")])
+    everything = {"chrA": [Region(None, None, None, None, cost)]}
+    rows = records(spark, [("s", 0, "chrA", 9, "1S4M1S", "GCATGT")])
     kept = R.realign_records(rows, references(spark), K.parse_costs(PDC), None, None, R.Config(promiscuous=True)).first()
     assert kept["cigar"] == "1S4M1S" and kept["note"] == ""
     whole = R.realign_records(rows, references(spark), K.parse_costs(PDC), None, None, R.Config(promiscuous=True, reclaim=1)).first()
@@ -104,7 +123,7 @@ def test_configuration_errors(files):
 
 def test_cost_and_mangle_files():
     costs = K.parse_costs(PDC + "text after the last bar is ignored")
-    assert len(costs["chr42"]) == 2 and costs["chr42"][1].start_a == 10 and costs["chr42"][1].start_b is None
+    assert len(costs["chrA"]) == 2 and costs["chrA"][1].start_a == 5 and costs["chrA"][1].start_b is None
     with pytest.raises(ValueError):
         K.parse_costs("x -1 |")
     text = K.generate_costs([("r1", 50), ("r2", 9)], [("r1", 5, 9), ("r1", 40, 99), ("r2", 20, 30)])
@@ -125,7 +144,7 @@ def test_text_sources(spark, files, tmp_path):
     bed = B.read_bed(spark, files("b.bed", "#c\nchr1\t5\t9\textra\nchr1\t5\nchr2\tx\t3\n")).collect()
     assert sorted(tuple(r) for r in bed) == [("chr1", 5, 9), ("chr2", 0, 3)]
     fa = Q.read_sequences(spark, files("s.fa", REF)).orderBy("ord").collect()
-    assert [(r["name"], r["short_name"], len(r["seq"])) for r in fa] == [("chr42 a name", "chr42", 32), ("other", "other", 8)]
+    assert [(r["name"], r["short_name"], len(r["seq"])) for r in fa] == [("chrA made up", "chrA", 29), ("chrB", "chrB", 8)]
     fq = Q.read_sequences(spark, files("s.fq", "@r1 x\nACG\n+\n!5~\n@r2\nA\n+\n5\n")).orderBy("ord").collect()
     assert [(r["short_name"], r["seq"]) for r in fq] == [("r1", "ACG"), ("r2", "A")] and fq[0]["qual"] == [0.0, -2.0, -9.3]
     assert B.read_settings(spark, files("x.ini", "; c\n[s]\na = 1\n#d\nb=x=y\n")) == {"a": "1", "b": "x=y"}
@@ -136,7 +155,7 @@ def test_text_sources(spark, files, tmp_path):
     assert Q.read_fasta(spark, f"file://{tmp_path}/fa").count() == 2
     Q.write_indexed(seqs, f"file://{tmp_path}/i.parquet")
     first = seqs.orderBy("ord").first()["ord"]
-    assert Q.read_indexed(spark, f"file://{tmp_path}/i.parquet", first, 3, 4).first()["seq"] == "TGTC"
+    assert Q.read_indexed(spark, f"file://{tmp_path}/i.parquet", first, 3, 4).first()["seq"] == LOCUS[3:7]
 
 
 def test_gzip_and_points(spark, files, tmp_path):
