@@ -166,13 +166,13 @@ def bit_words(words: DataFrame, bits: int) -> Column:
 
 
 #: bits of a key filter (as a power of two), whatever the number of keys, and how many of them a key sets
-FILTER_BITS, PROBES = 24, 2
+FILTER_BITS, PROBES = 23, 2
 
 
 def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     """A condition that holds for all of the long ``keys`` and, if they are not too many, for few others.
 
-    It keeps rows that cannot join from being shuffled. The filter has 2 MiB whatever the keys; with
+    It keeps rows that cannot join from being shuffled. The filter has 1 MiB whatever the keys; with
     very many keys everything passes, and the join that follows is as it would be without it.
     """
     bits = 1 << FILTER_BITS

@@ -121,12 +121,11 @@ def _verify(k: int, similarity: int):
 
 #: further stars of a bucket, around sets drawn by hash
 TURNS = 3
-_WORDS = [f"f{i}" for i in range(SKETCH_WORDS)]
 
 
 def _like(a: Callable[[str], F.Column], b: Callable[[str], F.Column], similarity: int) -> F.Column:
     """Whether sizes and sketches are near enough for two sets to be similar."""
-    apart = reduce(lambda x, y: x + y, [F.bit_count(a(f).bitwiseXOR(b(f))) for f in _WORDS])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.get(a("sketch"), F.lit(i)).bitwiseXOR(F.get(b("sketch"), F.lit(i)))) for i in range(SKETCH_WORDS)])
     sizes = F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * similarity
     return sizes & (apart * (100 + similarity) <= (a("n") + b("n")) * (100 - similarity))
 
@@ -140,7 +139,7 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
     signed = work.cut(base.mapInArrow(_signatures(k, similarity), f"doc_id {kind}, tkey long, n int, sid long, sketch array<long>, buckets array<long>"), "signed")
     slim = work.cut(signed.select("doc_id", "tkey", "n", "sid"), "slim")
     sets = signed.filter("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "tkey")).alias("d"), F.max("sketch").alias("sketch"))
-    sets = work.cut(sets.select("sid", "n", "d.doc_id", "d.tkey", *[F.get("sketch", F.lit(i)).alias(f) for i, f in enumerate(_WORDS)]), "sets")
+    sets = work.cut(sets.select("sid", "n", "d.doc_id", "d.tkey", "sketch"), "sets")
 
     # buckets with two sets or more, and their ends; then their rows, which a plain table lets the join split
     rows = signed.select(F.explode("buckets").alias("bucket"), "sid")
@@ -184,11 +183,10 @@ def similar_sets(docs: DataFrame, work: Work, id_col: str = "doc_id", text_col:
 
     # the two ends of a bucket are done
     left = unfinished(met.filter("sid != lo and sid != hi").select("bucket", "sid").distinct(), "left")
-    left, done = work.cut(left.join(sets.select("sid", "n", *_WORDS), "sid"), "left-sets"), left
+    left, done = work.cut(left.join(sets.select("sid", "n", "sketch"), "sid"), "left-sets"), left
     work.drop(met, done)
     # each set with a few sets of its bucket, other ones in each bucket: no more than so many pairs a row
-    name = ["sid", "n", "comp", *_WORDS]
-    drawn = [F.min(F.struct(F.xxhash64("sid", "bucket", F.lit(turn)), *name)) for turn in range(TURNS)]
+    drawn = [F.min(F.struct(F.xxhash64("sid", "bucket", F.lit(turn)), "sid", "n", "comp", "sketch")) for turn in range(TURNS)]
     drawn = work.cut(left.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("drawn")), "drawn")
     pairs = left.join(drawn.select("bucket", F.explode("drawn").alias("one")), "bucket").filter(near(lambda c: F.col(c), lambda c: F.col("one")[c]))
     pairs = pairs.select(F.least("sid", "one.sid").alias("a"), F.greatest("sid", "one.sid").alias("b")).distinct()

@@ -22,12 +22,16 @@ _P = U(0x5851F42D4C957F2D)
 
 def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; the memory of a batch goes back to the system before the next one comes."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
     for batch in batches:
         yield batch
         del batch
-        pa.default_memory_pool().release_unused()
-        trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

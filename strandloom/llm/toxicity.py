@@ -172,6 +172,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     y, f = active["toxic"].to_numpy().astype(float), active["f"].combine_chunks()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(f).to_numpy(zero_copy_only=False))])
     w, b = _fit(f.flatten().to_numpy(zero_copy_only=False), ends, y, r, l2)
+    del active, f
+    tn.trim()  # the driver goes on with other work
     return ToxicityModel(slot, w * r, b)
 
 
