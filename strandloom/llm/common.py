@@ -9,8 +9,10 @@ names none (tests).
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -80,6 +82,26 @@ def sweep(spark: SparkSession, after: int) -> None:
     del _FOLDERS[after:]
 
 
+#: at least so many seconds lie between two calls of ``tidy`` that do something, and so many times what the last one took
+TIDY_SECONDS, TIDY_SHARE = 5, 30
+_TIDIED = {"next": 0.0}
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of what finished jobs have left: shuffle files and broadcasts of frames that nothing holds, and the driver's memory for them.
+
+    Spark frees them when the driver's collector finds the frames gone, which it does late as
+    long as the heap can grow. Results do not depend on it.
+    """
+    began = time.monotonic()
+    if began < _TIDIED["next"]:
+        return
+    gc.collect()  # frames in Python hold those of the JVM
+    spark._jvm.System.gc()
+    now = time.monotonic()
+    _TIDIED["next"] = now + max(TIDY_SECONDS, TIDY_SHARE * (now - began))
+
+
 class Work:
     """Work tables of one operator call: ``cut`` writes a frame and reads it back. They go when the driver ends."""
 
@@ -98,6 +120,7 @@ class Work:
         path = self.path(tag)
         with small_batches(self.spark):
             df.write.parquet(path)
+        tidy(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._work_path = path
         return out
