@@ -22,6 +22,13 @@ def _shift(level: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SHIFTS]), level + 1)
 
 
+def _bins(k: int, lo: Column, hi: Column) -> Column:
+    """The bins of the level ``k`` from ``lo`` to ``hi``; the widest level is one bin, so that it also holds what lies across 0."""
+    if k == len(SHIFTS) - 1:
+        return F.when(lo.isNotNull() & hi.isNotNull(), F.array(F.lit(0).cast("long")))
+    return F.sequence(F.shiftright(lo, SHIFTS[k]), F.shiftright(hi, SHIFTS[k]))
+
+
 def overlap_join(probes: DataFrame, regions: DataFrame, chrom: str = "chrom", lo: str = "lo", hi: str = "hi", how: str = "inner") -> DataFrame:
     """Each probe [lo, hi) with each region (chrom, start, end) that it overlaps; columns chrom_r, start and end are added.
 
@@ -31,9 +38,10 @@ def overlap_join(probes: DataFrame, regions: DataFrame, chrom: str = "chrom", lo
     a pair meets once, and the plan is an equi-join, which Spark broadcasts if one side is small at run time.
     """
     r = regions.select(F.col("chrom").alias("chrom_r"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *[c for c in regions.columns if c not in ("chrom", "start", "end")])
-    r = r.withColumn("level_r", _level(F.col("start"), F.col("end"))).withColumn("bin_r", F.call_function("shiftright", F.col("start"), _shift(F.col("level_r"))))
+    r = r.withColumn("level_r", _level(F.col("start"), F.col("end"))).withColumn("bin_r", F.when(F.col("level_r") < len(SHIFTS) - 1, F.call_function("shiftright", F.col("start"), _shift(F.col("level_r")))).otherwise(0))
     levels = sorted(x[0] for x in r.select("level_r").distinct().collect())  # len(SHIFTS) at most
-    asked = F.flatten(F.array(*[F.transform(F.sequence(F.shiftright(F.col(lo).cast("long"), SHIFTS[k]), F.shiftright(F.greatest(F.col(hi), F.col(lo)).cast("long"), SHIFTS[k])), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"))) for k in levels] or [F.array().cast("array<struct<level:int,bin:bigint>>")]))  # noqa: B023
+    first, last = F.col(lo).cast("long"), F.greatest(F.col(hi), F.col(lo)).cast("long")
+    asked = F.flatten(F.array(*[F.transform(_bins(k, first, last), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin"))) for k in levels] or [F.array().cast("array<struct<level:int,bin:bigint>>")]))  # noqa: B023
     inside = ((F.col("start") < F.col(hi)) | ((F.col("start") == F.col(hi)) & (F.col("end") <= F.col(hi)))) & (F.col("end") > F.col(lo))
     p = probes.withColumn("_b", F.explode_outer(asked) if how == "left" else F.explode(asked))
     out = p.join(r, (F.col(chrom) == F.col("chrom_r")) & (F.col("_b.level") == F.col("level_r")) & (F.col("_b.bin") == F.col("bin_r")) & inside, how)

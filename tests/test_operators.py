@@ -73,6 +73,34 @@ def test_costs_of_places(spark):
     assert got == [(0, None, None), (1, 0, 4), (2, 0, 4), (3, 1, 2)]
 
 
+def test_places_like_the_slow_way(spark):
+    r = random.Random(11)
+    bound = lambda: r.choice([None, r.randint(-9000, 9000), r.randint(-20, 20), r.randint(-(1 << 40), 1 << 40)])
+    boxes = [(r.choice("ab"), i, bound(), bound(), r.choice([None, 0, 3]), r.choice([None, 3, 6]), r.randint(0, 2), i * 10) for i in range(60)]
+    spots = [(i, r.choice("abc"), r.choice([r.randint(-9000, 9000), r.randint(-20, 20)]), r.randint(-1, 6)) for i in range(120)]
+    lie = lambda lo, hi, v: (lo is None or lo <= v) and (hi is None or v < hi)
+    held = {k: [b for b in boxes if b[0] == c and lie(b[2], b[3], x) and lie(b[4], b[5], y)] for k, c, x, y in spots}
+    want = {k: max(v, key=lambda b: (b[6], b[1]))[7] if v else None for k, v in held.items()}
+    df = spark.createDataFrame(boxes, "chrom string, idx int, start_a long, end_a long, start_b long, end_b long, priority int, cost int")
+    got = regions.cost_at(spark.createDataFrame(spots, "k int, chrom string, x long, y long"), df, "k").collect()
+    assert {x["k"]: x["cost"] for x in got} == want and len(got) == len(spots)
+    windows = [(i, c, x, x + r.randint(1, 9000)) for i, c, x, _ in spots]
+    got = regions.rebase_regions(spark.createDataFrame(windows, "k int, chrom string, lo long, hi long"), df).collect()
+    touch = [(k, b[1], None if b[2] is None else max(b[2] - lo, 0), None if b[3] is None else min(b[3] - lo, hi - lo)) for k, c, lo, hi in windows for b in boxes if b[0] == c and (b[2] is None or b[2] < hi) and (b[3] is None or b[3] > lo)]
+    assert sorted(map(str, touch)) == sorted(str((x["k"], x["idx"], x["start_a"], x["end_a"])) for x in got)
+
+
+def test_pair_rules_like_the_slow_way(spark):
+    r = random.Random(12)
+    rules = [(i, *[r.choice([None, r.randint(33, 60)]) for _ in range(4)]) for i in range(8)]
+    points = [(i, r.randint(33, 60), r.randint(33, 60)) for i in range(200)] + [(300, None, 40), (301, 40, None)]
+    lie = lambda lo, hi, v: (lo is None or (v is not None and lo <= v)) and (hi is None or (v is not None and v <= hi))
+    held = {k: [x for x in rules if lie(x[1], x[2], a) and lie(x[3], x[4], b)] for k, a, b in points}
+    want = {k: max(v, key=lambda x: (sum(y is not None for y in x[1:]), -x[0]))[0] if v else None for k, v in held.items()}
+    got = regions.quality_pair_rules(spark.createDataFrame(points, "k int, qa int, qb int"), spark.createDataFrame(rules, "rule int, a_lo int, a_hi int, b_lo int, b_hi int"), "k").collect()
+    assert {x["k"]: x["rule"] for x in got} == want and len(got) == len(points)
+
+
 def test_suffixes(spark):
     texts = [(1, "banana"), (2, "ana"), (3, ""), (4, "aaaaaaaa")]
     df = spark.createDataFrame(texts, "id int, text string")
@@ -218,7 +246,7 @@ def test_minimisers():
 
 def test_tiles(spark):
     text = "".join(random.Random(1).choices("ACGT", k=70_000))
-    seqs = spark.createDataFrame([(0, "c", "c", text, None), (1, "d", "d", "ACG", None)], "ord long, name string, short_name string, seq string, qual array<double>")
-    w = [("c", 0, 10), ("c", 16_380, 16_390), ("c", 69_990, 70_000), ("c", 5, 40_000), ("d", 1, 3), ("x", 0, 1)]
+    seqs = spark.createDataFrame([(0, "c", "c", text, None), (1, "d", "d", "GGGGGG", None), (2, "d", "d", "ACG", None), (3, "e", "e", "AéCG" * 9_000, None), (4, "f", "f", "", None)], "ord long, name string, short_name string, seq string, qual array<double>")
+    w = [("c", 0, 10), ("c", 16_380, 16_390), ("c", 69_990, 70_000), ("c", 5, 40_000), ("d", 1, 3), ("e", 20_001, 20_005), ("x", 0, 1)]
     got = reference.cut_windows(spark.createDataFrame(w, "rname string, win_lo long, win_hi long"), seqs).collect()
-    assert {(x["rname"], x["win_lo"]): x["window"] for x in got} == {(c, a): (text if c == "c" else "ACG")[a:b] for c, a, b in w[:-1]}
+    assert {(x["rname"], x["win_lo"]): x["window"] for x in got} == {(c, a): {"c": text, "d": "ACG", "e": "AéCG" * 9_000}[c][a:b] for c, a, b in w[:-1]}
