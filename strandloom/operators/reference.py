@@ -14,17 +14,26 @@ def lengths(sequences: DataFrame) -> DataFrame:
 
 
 def tiles(sequences: DataFrame, size: int) -> DataFrame:
-    """(rname, tile, piece): pieces of two tiles' length that begin at each tile."""
-    last = sequences.groupBy(F.col("short_name").alias("rname")).agg(F.max_by("seq", "ord").alias("seq"))
-    n = F.greatest(F.length("seq") - 1, F.lit(0))
-    rows = last.select("rname", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / size))).alias("tile"))
-    return rows.select("rname", "tile", F.substring("seq", F.col("tile") * size + 1, F.lit(2 * size)).alias("piece"))
+    """(rname, tile, piece): pieces of two tiles' length that begin at each tile; of a name that occurs twice, the last.
+
+    The last of each name is found by names and places alone, so sequences are only moved if the names are too many to be broadcast.
+    Pieces are cut from bytes, at a cost of their own length; only a sequence with characters outside ASCII is counted through.
+    """
+    named = sequences.select(F.col("short_name").alias("rname"), "ord", "seq")
+    last = named.groupBy(F.col("rname").alias("_n")).agg(F.max("ord").alias("_last"))
+    rows = named.join(last, (F.col("rname") == F.col("_n")) & (F.col("ord") == F.col("_last")))
+    single = F.octet_length("seq") == F.length("seq")
+    rows = rows.select("rname", F.length("seq").alias("n"), F.when(~single, F.col("seq")).alias("seq"), F.when(single, F.col("seq").cast("binary")).alias("bytes"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / size))).alias("tile"))
+    at, length = (F.col("tile") * size + 1).cast("int"), F.lit(2 * size)
+    piece = F.coalesce(F.substring("bytes", at, length).cast("string"), F.substring("seq", at, length))
+    return rows.select("rname", "tile", piece.alias("piece"))
 
 
 def cut_windows(windows: DataFrame, sequences: DataFrame, out: str = "window") -> DataFrame:
     """``windows`` (rname, win_lo, win_hi, ...) with the text of the reference between lo and hi.
 
-    A tile is as wide as the widest window, so each window lies in the piece of one tile; no row carries a whole chromosome.
+    A tile is as wide as the widest window, so each window lies in the piece of one tile; no window meets a whole chromosome.
     """
     widest = windows.agg(F.max(F.col("win_hi") - F.col("win_lo"))).first()[0] or 0
     size = MIN_TILE
