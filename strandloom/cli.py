@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--thread", type=int, default=1, help="ignored: Spark sets the parallelism")
     p.add_argument("--order", action="store_true")
     p.add_argument("--tagpt", action="append", default=[])
+    p.add_argument("--single", action="store_true", help="write one file, through one task")
     return p
 
 
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
-    realign_files(spark, args.inputs, args.out, args.ref, args.cost, args.prob, args.qualm, config)
+    realign_files(spark, args.inputs, args.out, args.ref, args.cost, args.prob, args.qualm, config, args.single)
 
 
 if __name__ == "__main__":

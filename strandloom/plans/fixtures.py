@@ -55,10 +55,10 @@ CIGARS_SQL = "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k, l_partkey AS
 
 
 def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(records, sequences): documents as references; from each, two reads of 60 bases, one with an error, as mates."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", dna(F.col("text")).alias("seq")).filter(F.length("seq") >= 130)
+    """(records, sequences): documents as references; from each, two reads of 60 bases or what a short one has, one with an error, as mates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(dna(F.col("text")), F.lit("")).alias("seq"))
     seqs = docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("d"), "doc_id").alias("name"), F.concat(F.lit("d"), "doc_id").alias("short_name"), "seq", F.lit(None).cast("array<double>").alias("qual"))
-    room = F.length("seq") - 65
+    room = F.greatest(F.length("seq") - 65, F.lit(1))
     each = docs.select("doc_id", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("mate"))
     pos = ((F.col("doc_id") * 7 + F.col("mate") * 61) % room).cast("int")
     each = each.withColumn("pos", pos)
@@ -69,5 +69,5 @@ def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     read = F.when(F.col("mate") == 0, first).otherwise(second)
     flag = 1 + F.when(F.col("mate") == 0, 64).otherwise(128 + 16)
     return each.select(
-        (F.col("doc_id") * 2 + F.col("mate")).alias("ord"), F.lit(0).alias("file_idx"), F.concat(F.lit("r"), "doc_id").alias("qname"), flag.cast("int").alias("flag"), F.concat(F.lit("d"), "doc_id").alias("rname"), F.col("pos").cast("long").alias("pos"), F.lit(60).alias("mapq"), F.lit("60M").alias("cigar"), F.lit("").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), read.alias("seq"), F.repeat(F.lit("5"), 60).alias("qual"), F.lit("NM:i:1\tXA:Z:x").alias("extra")
+        (F.col("doc_id") * 2 + F.col("mate")).alias("ord"), F.lit(0).alias("file_idx"), F.concat(F.lit("r"), "doc_id").alias("qname"), flag.cast("int").alias("flag"), F.concat(F.lit("d"), "doc_id").alias("rname"), F.col("pos").cast("long").alias("pos"), F.lit(60).alias("mapq"), F.when(read != "", F.concat(F.length(read).cast("string"), F.lit("M"))).otherwise("").alias("cigar"), F.lit("").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), read.alias("seq"), F.repeat(F.lit("5"), F.length(read)).alias("qual"), F.lit("NM:i:1\tXA:Z:x").alias("extra")
     ), seqs

@@ -157,8 +157,8 @@ def output_headers(headers: DataFrame, records: DataFrame) -> DataFrame:
     return kept.select("ord", "file_idx", "text").unionByName(own)
 
 
-def realign_files(spark: SparkSession, inputs: list[str], out: str, ref: str, cost: str, prob: str | None = None, qualm: str | None = None, config: Config = Config(), single_file: bool = True) -> None:
-    """The whole run, from files to a SAM file."""
+def realign_files(spark: SparkSession, inputs: list[str], out: str, ref: str, cost: str, prob: str | None = None, qualm: str | None = None, config: Config = Config(), single_file: bool = False) -> None:
+    """The whole run, from files to SAM files whose order is that of their names; one file on request, which goes through one task."""
     if prob is None and not config.promiscuous:
         raise ValueError("problem regions are needed, unless the run is promiscuous")
     records, headers = A.read_alignments(spark, inputs)

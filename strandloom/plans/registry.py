@@ -369,7 +369,7 @@ def realign_best(spark, sf):
     recs, seqs = T.records(spark, sf)
     soft = Cost(-2, -1, 0, _COST.chars, _COST.mm)
     costs = _SameCosts([Region(None, None, None, None, _COST), Region(0, 1 << 40, 0, 1 << 40, soft)])
-    spots = seqs.select(F.col("short_name").alias("chrom"), F.explode(F.sequence(F.lit(0).cast("long"), F.length("seq").cast("long") - 1, F.lit(1000).cast("long"))).alias("start"))
+    spots = seqs.select(F.col("short_name").alias("chrom"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.length("seq") - 1, F.lit(0)).cast("long"), F.lit(1000).cast("long"))).alias("start"))
     spots = spots.select("chrom", "start", (F.col("start") + 400).alias("end"))
     config = realign.Config(rank=1, count=2, tags=["NM"])
     return realign.realign_records(recs, seqs, costs, spots, None, config)
