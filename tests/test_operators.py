@@ -101,6 +101,25 @@ def test_pair_rules_like_the_slow_way(spark):
     assert {x["k"]: x["rule"] for x in got} == want and len(got) == len(points)
 
 
+def test_regions_of_one_chromosome_are_dealt_out(spark):
+    reads = spark.createDataFrame([(i, 0, "((" + chr(41 + i % 2) * 3) for i in range(40)], "id int, chrom long, qual string")
+    boxes = [(0, i, i, i + 9, *((None, None) if i % 3 else (i % 4, 3 + i % 4))) for i in range(50)]
+    mangles = spark.createDataFrame([(0, 1, 40, 41), (0, 2, 40, 60)], "chrom long, mangle int, q_lo int, q_hi int")
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, "-1")
+    out = regions.mangled_regions(reads, spark.createDataFrame(boxes, "chrom long, idx int, start_a int, end_a int, start_b int, end_b int"), mangles, "id").cache()
+    want = []
+    for i in range(40):
+        for s, e, q in ((0, 2, 40), (2, 5, 41)) if i % 2 == 0 else ((0, 2, 40), (2, 5, 42)):
+            for _, k, a, b, lo, hi in boxes:
+                if lo is None or (lo < e and hi > s):
+                    want.append((i, k, a, b, s if lo is None else max(s, lo), e if lo is None else min(e, hi), q, 1 if q < 42 else 2))
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(k)
+
+
 def test_suffixes(spark):
     texts = [(1, "banana"), (2, "ana"), (3, ""), (4, "aaaaaaaa")]
     df = spark.createDataFrame(texts, "id int, text string")
