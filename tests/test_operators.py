@@ -211,6 +211,21 @@ def test_forest_is_whole_by_both_ways(spark):
     assert leaves[0] == leaves[1] and len(leaves[0]) == 360
 
 
+def test_class_splits_are_bounded_without_loss(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    for m, d, values in ((700, 4, 10**6), (500, 3, 9), (300, 2, 40)):
+        x, y = r.integers(0, values, (m, d)).astype(float), r.integers(0, 5, m)
+        assert _nested([(n.dim, n.val, n.left, n.right, n.value) for n in trees.grow_tree(x, y, 5)]) == _plain_tree(x, y, 5)
+    # a node is not summed up once for each class at every place
+    summed = []
+    monkeypatch.setattr(np, "cumsum", lambda v, *a, f=np.cumsum, **k: (summed.append(np.size(v)), f(v, *a, **k))[1])
+    x, y = r.random((4000, 3)), r.integers(0, 5, 4000)
+    levels = sum(n.dim >= 0 for n in trees.grow_tree(x, y, 5)) + 1
+    assert sum(summed) < levels * x.size
+
+
 def test_registered_forests_are_whole(spark, tmp_path, monkeypatch):
     from strandloom.plans import registry
 
