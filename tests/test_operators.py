@@ -226,6 +226,22 @@ def test_class_splits_are_bounded_without_loss(monkeypatch):
     assert sum(summed) < levels * x.size
 
 
+def test_added_trees_are_those_of_the_leaves(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    rows = [(i, *map(float, v), int(v[0] > 3) + int(v[1] > 5), float(v[0])) for i, v in enumerate(r.integers(0, 9, (60, 2)))] + [(60, None, 4.0, 1, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int, z double")
+    votes = trees.grow_forest(df, ["a", "b"], "y", trees=7, classes=3).cache()
+    means = trees.grow_forest(df, ["a", "b"], "z", trees=7).cache()
+    plain = [trees.apply_forest(df, f, ["a", "b"], "id") for f in (votes, means)]
+    added = [trees.apply_forest(df, f, ["a", "b"], "id", add=a) for f, a in ((votes, "votes"), (means, "sum"))]
+    assert added[1].count() == 61 and added[0].count() <= 61 * 3  # not a row for each tree
+    assert {tuple(x) for x in trees.forest_classes(plain[0], "id").collect()} == {tuple(x) for x in trees.forest_classes(added[0], "id").collect()}
+    got = [{x["id"]: x["mean"] for x in trees.forest_means(x, "id", 7).collect()} for x in (plain[1], added[1])]
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][k] - got[1][k]) < 1e-9 for k in got[0])
+
+
 def test_registered_forests_are_whole(spark, tmp_path, monkeypatch):
     from strandloom.plans import registry
 
