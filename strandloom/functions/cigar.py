@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OP = "(\\+?[0-9]+)([MIDNSHP=X])"
+#: a match of one base or more
+_MATCH = "\\+?0*[1-9][0-9]*[M=X]"
 #: clips outside, alignment operations inside; padding is allowed anywhere
 VALID = "^(?:\\+?[0-9]+[HP])*(?:\\+?[0-9]+[SP])*(?:\\+?[0-9]+[MIDNP=X])*(?:\\+?[0-9]+[SP])*(?:\\+?[0-9]+[HP])*$"
 
@@ -17,58 +18,57 @@ def is_valid(cigar: Column) -> Column:
 
 def operations(cigar: Column) -> Column:
     """array<struct<n, op>> of the operations."""
-    n = F.transform(F.regexp_extract_all(cigar, F.lit(_OP), F.lit(1)), lambda x: x.cast("long"))
-    return F.zip_with(n, F.regexp_extract_all(cigar, F.lit(_OP), F.lit(2)), lambda a, b: F.struct(a.alias("n"), b.alias("op")))
+    return _parted(_taken(cigar, "MIDNSHP=X", 0))
 
 
-def _total(ops: Column, kinds: str) -> Column:
-    take = F.filter(ops, lambda x: F.lit(kinds).contains(x["op"]))
-    return F.aggregate(take, F.lit(0).cast("long"), lambda t, x: t + x["n"])
+def _parted(texts: Column) -> Column:
+    return F.transform(texts, lambda x: F.struct(F.substring(x, F.lit(1), F.length(x) - 1).cast("long").alias("n"), F.right(x, F.lit(1)).alias("op")))
+
+
+def _taken(cigar: Column, kinds: str, group: int) -> Column:
+    """The operations of these kinds as texts, or with ``group`` 1 their counts: one search of the text, as nothing is shared between the steps of arrays."""
+    return F.regexp_extract_all(cigar, F.lit(f"(\\+?[0-9]+)[{kinds}]"), F.lit(group))
+
+
+def _total(cigar: Column, kinds: str) -> Column:
+    return F.aggregate(_taken(cigar, kinds, 1), F.lit(0).cast("long"), lambda t, x: t + x.cast("long"))
 
 
 def start_clip(cigar: Column) -> Column:
     """Bases clipped softly before the first alignment operation."""
-    return _total(operations(F.regexp_extract(cigar, "^((?:\\+?[0-9]+[SHP])*)", 1)), "S")
+    return _total(F.regexp_extract(cigar, "^((?:\\+?[0-9]+[SHP])*)", 1), "S")
 
 
 def end_clip(cigar: Column) -> Column:
     """Bases clipped softly after the first alignment operation."""
-    return _total(operations(cigar), "S") - start_clip(cigar)
+    return _total(cigar, "S") - start_clip(cigar)
 
 
 def read_length(cigar: Column) -> Column:
     """Read bases that the operations take, without clips."""
-    return _total(operations(cigar), "M=XI")
+    return _total(cigar, "M=XI")
 
 
 def reference_length(cigar: Column) -> Column:
-    return _total(operations(cigar), "M=XDN")
-
-
-def _edge(ops: Column) -> Column:
-    """Reference bases skipped before the first match."""
-    end = F.aggregate(
-        ops,
-        F.struct(F.lit(0).cast("long").alias("skip"), F.lit(False).alias("met")),
-        lambda s, x: F.struct((s["skip"] + F.when(~s["met"] & F.lit("DN").contains(x["op"]), x["n"]).otherwise(0)).alias("skip"), (s["met"] | (F.lit("M=X").contains(x["op"]) & (x["n"] > 0))).alias("met")),
-    )
-    return F.when(end["met"], end["skip"])
+    return _total(cigar, "M=XDN")
 
 
 def bounds(cigar: Column, pos: Column) -> Column:
     """struct<low, high>: the first and last reference base that a read base matches; -1 and -1 without one."""
-    ops = operations(cigar)
-    low = pos + _edge(ops)
-    high = pos + reference_length(cigar) - 1 - _edge(F.reverse(ops))
-    return F.struct(F.coalesce(low, F.lit(-1).cast("long")).alias("low"), F.coalesce(high, F.lit(-1).cast("long")).alias("high"))
+    met = cigar.rlike(_MATCH)
+    # reference bases skipped before the first match and after the last
+    low = pos + _total(F.regexp_extract(cigar, f"(?s)^(.*?){_MATCH}", 1), "DN")
+    high = pos + reference_length(cigar) - 1 - _total(F.regexp_extract(cigar, f"(?s)^.*{_MATCH}(.*)$", 1), "DN")
+    none = F.lit(-1).cast("long")
+    return F.struct(F.coalesce(F.when(met, low), none).alias("low"), F.coalesce(F.when(met, high), none).alias("high"))
 
 
 def positions(cigar: Column, pos: Column) -> Column:
     """array<long>: for each read base that is not clipped its reference position, -1 in insertions."""
     def add(s: Column, x: Column) -> Column:
-        step = F.when(F.lit("M=XDN").contains(x["op"]), x["n"]).otherwise(F.lit(0).cast("long"))
-        run = F.when(x["n"] == 0, F.array().cast("array<bigint>")).when(F.lit("M=X").contains(x["op"]), F.sequence(s["at"], s["at"] + F.greatest(x["n"], F.lit(1)) - 1)).when(x["op"] == "I", F.array_repeat(F.lit(-1).cast("long"), x["n"].cast("int"))).otherwise(F.array().cast("array<bigint>"))
-        return F.struct((s["at"] + step).alias("at"), F.concat(s["all"], F.array(run)).alias("all"))
+        some = x["n"] > 0
+        run = F.when(some & F.contains(F.lit("M=X"), x["op"]), F.sequence(s["at"], s["at"] + x["n"] - 1)).when(some & (x["op"] == "I"), F.array_repeat(F.lit(-1).cast("long"), x["n"].cast("int"))).otherwise(F.array().cast("array<bigint>"))
+        return F.struct((s["at"] + F.when(x["op"] == "I", 0).otherwise(x["n"])).alias("at"), F.array_append(s["all"], run).alias("all"))
 
     start = F.struct(pos.cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("all"))
-    return F.aggregate(operations(cigar), start, add, lambda s: F.flatten(s["all"]))
+    return F.aggregate(_parted(_taken(cigar, "MIDN=X", 0)), start, add, lambda s: F.flatten(s["all"]))

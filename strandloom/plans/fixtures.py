@@ -45,10 +45,13 @@ REGIONS_SQL = 'SELECT CAST(p_size % 5 AS BIGINT) AS chrom, p_partkey * 10 AS sta
 def cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, pos, cigar) from lineitem; an odd part key begins with a deletion."""
     li = table(spark, sf_dir, "lineitem")
-    n, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string")
-    lead = F.when(F.col("l_partkey") % 2 == 1, "3D").otherwise("")
+    # a CIGAR tells its numbers and part, so rows are told apart by these, before any text is made
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    li = li.select((F.col("l_orderkey") * 10 + n).alias("k"), F.col("l_partkey").alias("pos"), F.when(q.isNotNull(), n).alias("n"), F.when(n.isNotNull(), q).alias("q")).distinct()
+    n, q = F.col("n").cast("string"), F.col("q").cast("string")
+    lead = F.when(F.col("pos") % 2 == 1, "3D").otherwise("")
     cig = F.concat(F.lit("2H"), n, F.lit("S"), lead, q, F.lit("M"), n, F.lit("I2D"), q, F.lit("="), F.lit("4N"), n, F.lit("S"))
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.col("l_partkey").alias("pos"), cig.alias("cigar")).distinct()
+    return li.select("k", "pos", cig.alias("cigar"))
 
 
 CIGARS_SQL = "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS k, l_partkey AS pos, '2H' || l_linenumber || 'S' || CASE WHEN l_partkey % 2 = 1 THEN '3D' ELSE '' END || CAST(l_quantity AS INT) || 'M' || l_linenumber || 'I2D' || CAST(l_quantity AS INT) || '=4N' || l_linenumber || 'S' AS cigar FROM lineitem"

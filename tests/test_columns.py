@@ -48,6 +48,18 @@ def test_cigar_columns(spark):
         assert (list(at), s, e, tuple(b)) == slow_cigar(cig, 7), cig
 
 
+def test_cigar_text_is_searched_a_few_times(spark):
+    c, p = F.col("c"), F.col("p")
+    df = spark.createDataFrame([("3S+4M0M2D05M1I4N3S", 7), ("x5y+3M2D", 7), (None, 7), ("0M3I", 7)], "c string, p long")
+    b = C.bounds(c, p)
+    plan = df.select(b["low"].alias("x"), b["high"].alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 3
+    plan = df.select(C.positions(c, p).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert [tuple(x) for x in df.select(b["low"], b["high"]).collect()] == [(7, 17), (7, 9), (-1, -1), (-1, -1)]
+    assert [x[0] for x in df.select(C.positions(c, p)).collect()] == [[7, 8, 9, 10, 13, 14, 15, 16, 17, -1], [7, 8, 9], None, [-1, -1, -1]]
+
+
 def test_bad_cigars(spark):
     assert [x[0] for x in values(spark, [("M",), ("3",), ("3Z",), ("2S3M2S1M",), ("2M2H3S",)], "c string", C.is_valid(F.col("c")))] == [False] * 5
 
