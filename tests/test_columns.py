@@ -77,6 +77,16 @@ def test_qualities(spark):
     assert got == [("ACGTNacgt", "tgcaNACGT", "!5~", "!", "~")]
 
 
+def test_quality_arrays_go_in_batches(spark):
+    p = quality.phreds_to_log10(F.col("q"))
+    df = spark.createDataFrame([("!5~",), ("",), (None,), ("Ié+",)], "q string")
+    assert [x[0] for x in df.select(p).collect()] == [[(ord(c) - 33) / -10.0 for c in q or ""] for q in ("!5~", "", None, "Ié+")]
+    assert "lambdafunction" not in df.select(quality.log10s_to_phred(p).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    ps = spark.createDataFrame([([0.0, -9.9, float("nan"), float("-inf"), float("inf")],), ([],), (None,), ([None, -2.04],)], "p array<double>")
+    want = ps.select(F.array_join(F.transform("p", quality.log10_to_phred), "")).collect()
+    assert ps.select(quality.log10s_to_phred(F.col("p"))).collect() == want
+
+
 def test_text(spark):
     got = values(spark, [(" 12x",), ("-7",), ("x",), ("",), ("+3.5",), ("99999999999999999999",)], "t string", X.atol(F.col("t")))
     assert [g[0] for g in got] == [12, -7, 0, 0, 3, 0]
