@@ -8,6 +8,7 @@ import pytest
 from strandloom import cli
 from strandloom import schema as S
 from strandloom.operators.align import SEMI, Cost, Region, cigar, cost_grid, rebase
+from strandloom.plans import fixtures as T
 from strandloom.plans import realign as R
 from strandloom.sources import alignments as A
 from strandloom.sources import costs as K
@@ -230,3 +231,20 @@ def test_pair_stream(spark, tmp_path):
     run()
     got = spark.read.schema("qname string, first long, second long").parquet(f"file://{tmp_path}/out").collect()
     assert sorted((r["qname"], r["first"], r["second"]) for r in got) == [("a", 1, 3), ("a", 5, 7), ("b", 2, 9)]
+
+
+def test_bases_of_documents_are_made_once(spark, tmp_path):
+    texts = {0: "Ab c-d", 1: None, 2: "", 3: "lorem ipsum é dolor " * 30, 900: "x" * 66 + "Yz"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    recs, seqs = T.records(spark, str(tmp_path))
+    for df in (recs, seqs):
+        assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    bases = {k: "".join("ACGT"[(ord(c) - 65) % 4] for c in (t or "").upper() if "A" <= c <= "Z") for k, t in texts.items()}
+    assert {r.ord: r.seq for r in seqs.collect()} == bases
+    want = {}
+    for k, b in bases.items():
+        for mate in (0, 1):
+            pos = (k * 7 + mate * 61) % max(len(b) - 65, 1)
+            piece = b[pos : pos + 65]
+            want[2 * k + mate] = (pos, piece[:25] + piece[27:62] if mate else piece[:30] + piece[30:31].translate(str.maketrans("ACGT", "TGCA")) + piece[31:60])
+    assert {r.ord: (r.pos, r.seq) for r in recs.collect()} == want
