@@ -57,13 +57,14 @@ _ALN = "array<struct<score:long,pos:long,end:long,cigar:string,main:boolean>>"
 
 def _kernel(costs: dict, mangles: dict | None, options: Options):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grids: dict = {}
         for batch in batches:
             rows = list(zip(batch["rname"], batch["window"], batch["read"], batch["read_qual"], batch["win_lo"], batch["win_hi"], strict=True))
             out: list = [None] * len(rows)
             for first in range(0, len(rows), 512):
                 problems = []
                 for rname, window, read, qual, lo, hi in rows[first : first + 512]:
-                    grid = cost_grid(rebase(costs[rname], lo, hi), len(window), len(read))
+                    grid = cost_grid(rebase(costs[rname], lo, hi), len(window), len(read), grids)
                     problems.append((window, read, grid if mangles is None else K.mangle_grid(grid, mangles[rname], lo, qual)))
                 for q, found in realign_many(problems, options):
                     lo = rows[first + q][4]
